@@ -47,9 +47,9 @@ def matches(text: Column, pattern: str, kind: int, group: int, least: int) -> Co
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["g"]
-        span = F.array(F.struct(a.alias("start"), F.lit(kind).alias("kind"), (a + x["w"]).alias("end"))).cast(SPAN)
-        return F.struct((a + x["w"]).alias("at"), F.when(x["m"] >= least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        end = acc["at"] + x["g"] + x["w"]
+        span = F.array(F.struct((acc["at"] + x["g"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end"))).cast(SPAN)
+        return F.struct(end.alias("at"), F.when(x["m"] >= least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     return F.aggregate(parts, start, step, lambda acc: acc["spans"])
 
@@ -72,14 +72,26 @@ def listing(spans: Column, names: tuple[str, ...] = ("assign", "access", "hex",
 # ---------------------------------------------------------------- the battery
 
 
+def let(value: Column, body) -> Column:
+    """body(v) with v computed once; without it, expressions that use a value twice would double."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
 def upper_tail(z: Column) -> Column:
     """P(Z >= z) for a standard normal Z (Zelen and Severo's approximation, absolute error under 1e-7; the leading term beyond 6)."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    density = F.exp(-a * a / 2) * 0.3989422804014327
-    tail = F.when(a > 6, density / a).otherwise(density * poly)
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+    def tail(t: Column, a: Column) -> Column:
+        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return F.exp(-a * a / 2) * 0.3989422804014327 * F.when(a > 6, 1 / a).otherwise(poly)
+
+    def of(z: Column) -> Column:
+        return let(F.abs(z), lambda a: let(let(1 / (1 + 0.2316419 * a), lambda t: tail(t, a)), lambda p: F.when(z >= 0, p).otherwise(1 - p)))
+
+    return let(z, of)
 
 
 def encoding_of(s: Column) -> Column:
@@ -90,37 +102,48 @@ def encoding_of(s: Column) -> Column:
     return out
 
 
-def battery(s: Column) -> Column:
-    """(encoding, n, p) of a string: p is the Bonferroni-combined p-value of its three tests."""
-    enc = encoding_of(s)
+ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+
+
+def symbols(s: Column, enc: Column) -> Column:
+    """The places (from 1) of the string's characters in its alphabet, without padding."""
     own = F.rtrim(s, F.lit("="))
-    size = F.element_at(F.array(*[F.lit(float(e[2])) for e in ENCODINGS]), enc + 1)
-    alphabet = F.element_at(F.array(F.lit("0123456789abcdef"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.lit("0123456789abcdefghijklmnopqrstuvwxyz"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")), enc + 1)
     folded = F.when((enc == 0) | (enc == 2), F.lower(own)).otherwise(F.translate(own, "-_", "+/"))
-    at = F.transform(F.split(folded, ""), lambda c: F.call_function("locate", c, alphabet).cast("double"))
-    n = F.length(folded).cast("double")
-
-    def tests(x: Column) -> Column:
-        counts = F.transform(F.array_distinct(x), lambda v: F.size(F.filter(x, lambda u: u == v)).cast("double"))
-        chi = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c) * size / n - n
-        free = size - 1
-        z_chi = (chi - free) / F.sqrt(2 * free * (1 - 1 / n))
-        high = F.transform(x, lambda v: (v > size / 2).cast("double"))
-        n1 = F.aggregate(high, F.lit(0.0), lambda a, v: a + v)
-        n0 = n - n1
-        nexts = F.zip_with(F.slice(high, 1, F.size(high) - 1), F.slice(high, 2, F.size(high) - 1), lambda a, b: F.abs(a - b))
-        runs = F.aggregate(nexts, F.lit(1.0), lambda a, v: a + v)
-        mean = 2 * n1 * n0 / n + 1
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        z_runs = F.when(var > 0, F.abs(runs - mean) / F.sqrt(var)).otherwise(F.sqrt(n))
-        centre = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-        square = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - centre) * (v - centre))
-        cross = F.aggregate(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: (a - centre) * (b - centre)), F.lit(0.0), lambda a, v: a + v)
-        z_serial = F.when(square > 0, F.abs(cross / square + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
-        p = F.least(upper_tail(z_chi), 2 * upper_tail(z_runs), 2 * upper_tail(z_serial))
-        return F.struct(enc.alias("encoding"), n.cast("int").alias("n"), F.least(F.lit(1.0), 3 * p).alias("p"))
-
-    return F.element_at(F.transform(F.array(at), tests), 1)
+    alphabet = F.element_at(F.array(*[F.lit(a) for a in ALPHABETS]), enc + 1)
+    return F.transform(F.split(folded, ""), lambda c: F.call_function("locate", c, alphabet).cast("double"))
+
+
+def tests(a: Column) -> Column:
+    """p of the three tests on a struct (x: places, n, size), Bonferroni-combined."""
+    x, n, size = a["x"], a["n"], a["size"]
+    counts = F.transform(F.array_distinct(x), lambda v: F.size(F.filter(x, lambda u: u == v)).cast("double"))
+    chi = let(total(F.transform(counts, lambda c: c * c)) * size / n - n, lambda c: (c - size + 1) / F.sqrt(2 * (size - 1) * (1 - 1 / n)))
+    pairs = lambda y, f: F.zip_with(F.slice(y, 1, F.size(y) - 1), F.slice(y, 2, F.size(y) - 1), f)
+
+    def runs(high: Column) -> Column:
+        seen = 1 + total(pairs(high, lambda u, v: F.abs(u - v)))
+        mean = let(total(high), lambda n1: 2 * n1 * (n - n1) / n + 1)
+        z = lambda m: let((m - 1) * (m - 2) / (n - 1), lambda var: F.when(var > 0, F.abs(seen - m) / F.sqrt(var)).otherwise(F.sqrt(n)))
+        return let(mean, z)
+
+    def serial(y: Column) -> Column:
+        z = lambda square: F.when(square > 0, F.abs(total(pairs(y, lambda u, v: u * v)) / square + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
+        return let(total(F.transform(y, lambda v: v * v)), z)
+
+    z_runs = let(F.transform(x, lambda v: (v > size / 2).cast("double")), runs)
+    z_serial = let(let(total(x) / n, lambda mean: F.transform(x, lambda v: v - mean)), serial)
+    return F.least(F.lit(1.0), 3 * F.least(upper_tail(chi), 2 * upper_tail(z_runs), 2 * upper_tail(z_serial)))
+
+
+def battery(s: Column) -> Column:
+    """(encoding, n, p) of a string."""
+    sizes = F.array(*[F.lit(float(e[2])) for e in ENCODINGS])
+
+    def of(enc: Column) -> Column:
+        facts = let(symbols(s, enc), lambda x: F.struct(x.alias("x"), F.size(x).cast("double").alias("n"), F.element_at(sizes, enc + 1).alias("size")))
+        return let(facts, lambda a: F.struct(enc.alias("encoding"), a["n"].cast("int").alias("n"), tests(a).alias("p")))
+
+    return let(encoding_of(s), of)
 
 
 def candidates(text: Column) -> Column:
@@ -130,8 +153,7 @@ def candidates(text: Column) -> Column:
     spans = matches(text, CANDIDATE, 3, 0, 1)
 
     def tested(span: Column, s: Column) -> Column:
-        x = battery(s)
-        return F.struct(span["start"].alias("start"), span["end"].alias("end"), x["encoding"].alias("encoding"), x["n"].alias("n"), x["p"].alias("p"))
+        return let(battery(s), lambda x: F.struct(span["start"].alias("start"), span["end"].alias("end"), x["encoding"].alias("encoding"), x["n"].alias("n"), x["p"].alias("p")))
 
     found = F.zip_with(spans, whole, tested)
     least = F.array(*[F.lit(LEAST[e[0]]) for e in ENCODINGS])
