@@ -53,7 +53,10 @@ class LanguageModel:
     floor: float
 
     def vectors(self, texts: list[str]) -> np.ndarray:
-        return unit(np.log1p(np.array([gram_counts(t) for t in texts]).reshape(-1, FEATURES)) * self.idf)
+        x = np.array([gram_counts(t) for t in texts]).reshape(-1, FEATURES)
+        np.log1p(x, out=x)
+        x *= self.idf
+        return unit(x)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score (0 to 1), cosine to the nearest centroid and whether it is rejected, of each text."""
@@ -73,7 +76,21 @@ class LanguageModel:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+
+
+def pack(counts: np.ndarray) -> bytes:
+    """A text's counts as bytes: the features it has, then how often."""
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes() + counts[at].astype(np.float32).tobytes()
+
+
+def unpack(packed: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(packed), FEATURES), np.float32)
+    for row, data in zip(out, packed):
+        n = len(data) // 6
+        row[np.frombuffer(data, np.uint16, n)] = np.frombuffer(data, np.float32, n, 2 * n)
+    return out
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -88,36 +105,58 @@ def cluster(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def fit_texts(rows: list[tuple[str, str]]) -> LanguageModel:
-    """The model of (text, lang) rows."""
-    rows = [(t, y) for t, y in rows if t is not None and y is not None and _LETTER.search(t)]
-    languages = tuple(sorted({y for _, y in rows}))
-    if not rows:
+def fit_packed(rows: dict[str, list[bytes]]) -> LanguageModel:
+    """The model of each language's packed counts; one language at a time is dense."""
+    languages = tuple(sorted(y for y in rows if rows[y]))
+    if not languages:
         return LanguageModel(np.ones(FEATURES), np.zeros((0, FEATURES)), np.zeros(0, int), (), 0.0)
-    counts = np.array([gram_counts(t).astype(np.float32) for t, _ in rows])
-    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1
-    x = unit(np.log1p(counts) * idf)
-    del counts
-    y = np.array([languages.index(t) for _, t in rows])
-    centres = [cluster(x[y == k], CENTROIDS) for k in range(len(languages))]
+    seen = sum(np.count_nonzero(unpack(rows[y]), axis=0) for y in languages)
+    idf = (np.log((1 + sum(len(rows[y]) for y in languages)) / (1 + seen)) + 1).astype(np.float32)
+
+    def vectors(y: str) -> np.ndarray:
+        x = unpack(rows[y])
+        np.log1p(x, out=x)
+        x *= idf
+        return unit(x)
+
+    centres = [cluster(vectors(y), CENTROIDS) for y in languages]
     owner = np.concatenate([np.full(len(c), k) for k, c in enumerate(centres)])
-    model = LanguageModel(idf, np.concatenate(centres), owner, languages, 0.0)
-    own = (x @ model.centroids.T).max(1)
+    model = LanguageModel(idf.astype(float), np.concatenate(centres).astype(float), owner, languages, 0.0)
+    own = np.concatenate([(vectors(y) @ np.concatenate(centres).T).max(1) for y in languages])
     return replace(model, floor=float(np.quantile(own, REJECT_SHARE)) * REJECT_MARGIN)
 
 
+def fit_texts(rows: list[tuple[str, str]]) -> LanguageModel:
+    """The model of (text, lang) rows."""
+    packed: dict[str, list[bytes]] = {}
+    for t, y in rows:
+        if t is not None and y is not None and _LETTER.search(t):
+            packed.setdefault(y, []).append(pack(gram_counts(t)))
+    return fit_packed(packed)
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """The model of at most ``sample`` documents of each language.
 
     Rows with crc32(id) mod 4 = 2 or without text or lang are not read for it. The sample is first
     chosen on ids and languages alone (the limit acts before the shuffle, so one large language is
-    no hot task), then its texts are read; the driver holds ``sample`` texts a language.
+    no hot task), then its texts are counted where they are; the driver receives packed counts, at
+    most 48 kB each whatever the texts' lengths, and never a text.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & (crc_of_id(F.col("id")) % 4 != 2))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = rows.select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("id").distinct()
-    got = rows.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "id", "left_semi").select("text", "lang", "id")
-    return fit_texts([(t, y) for t, y, _ in sorted(got.collect(), key=lambda r: (r[1], str(r[2]), r[0]))])
+
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            yield pd.Series([pack(gram_counts(t)) if isinstance(t, str) and _LETTER.search(t) else None for t in some], dtype="object")
+
+    got = rows.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "id", "left_semi").select("lang", F.pandas_udf(count, "binary")("text").alias("packed"))
+    packed: dict[str, list[bytes]] = {}
+    for lang, data in got.where(F.col("packed").isNotNull()).collect():
+        packed.setdefault(lang, []).append(bytes(data))
+    return fit_packed({y: sorted(v) for y, v in packed.items()})
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
