@@ -251,12 +251,13 @@ def index_rows(nodes: DataFrame, layout: Layout) -> DataFrame:
 
 
 def probe_rows(nodes: DataFrame, allocator: Allocator) -> DataFrame:
-    """(key, fp, root): the values that each fingerprint probes under its own thresholds."""
+    """(key, fp, root, ts): the values that each fingerprint probes under its own thresholds; ts packs those (t + 1 in 3 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v, roots = _numbers(batch), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             t, _ = allocator.thresholds(v)
+            ts = sum((t[i].astype(np.int64) + 1) << np.int64(3 * i) for i in range(len(t)))
             for i, bits in enumerate(allocator.layout.parts):
                 own = take_bits(v, bits)
                 for d in range(MOST + 1):
@@ -265,9 +266,9 @@ def probe_rows(nodes: DataFrame, allocator: Allocator) -> DataFrame:
                     for k in range(0, len(at), step):
                         some = at[k : k + step]
                         key = _keys(i, (own[some][:, None] ^ flips).ravel())
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(v[some], len(flips))), pa.array(np.repeat(roots[some], len(flips)))], names=["key", "fp", "root"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(v[some], len(flips))), pa.array(np.repeat(roots[some], len(flips))), pa.array(np.repeat(ts[some], len(flips)))], names=["key", "fp", "root", "ts"])
 
-    return nodes.select("fp", "root").mapInArrow(run, "key long, fp long, root long")
+    return nodes.select("fp", "root").mapInArrow(run, "key long, fp long, root long, ts long")
 
 
 def chain_edges(index: DataFrame, max_bits: int, lags: int = 6) -> DataFrame:
@@ -309,18 +310,25 @@ def chain_edges(index: DataFrame, max_bits: int, lags: int = 6) -> DataFrame:
 
 
 def cross_links(nodes: DataFrame, allocator: Allocator) -> DataFrame:
-    """(a, b, root_a, root_b): all pairs within max_bits whose roots differ.
+    """(a, b, root_a, root_b): all pairs within max_bits whose roots differ, each once.
 
-    The distance is part of the join condition, so candidates never become rows; a bucket whose
-    members all have the probe's root is left out before it is read.
+    The distance is part of the join condition, so candidates never become rows; nor does a pair in
+    any but the first partition where its probe reaches it. A bucket whose members all have the
+    probe's root is left out before it is read.
     """
     index = index_rows(nodes, allocator.layout)
     probes = probe_rows(nodes, allocator)
     held = index.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     probes = probes.join(held, "key").where("root <> low or root <> high").drop("low", "high")
-    p, x = probes.toDF("key", "p_fp", "p_root"), index.toDF("key", "x_fp", "x_root")
-    on = (p["key"] == x["key"]) & (p["p_root"] != x["x_root"]) & (p["p_fp"] < x["x_fp"]) & (F.bit_count(p["p_fp"].bitwiseXOR(x["x_fp"])) <= allocator.max_bits)
-    return p.join(x, on).select(F.col("p_fp").alias("a"), F.col("x_fp").alias("b"), F.col("p_root").alias("root_a"), F.col("x_root").alias("root_b")).distinct()
+    p, x = probes.toDF("key", "p_fp", "p_root", "p_ts"), index.toDF("key", "x_fp", "x_root")
+    differ = p["p_fp"].bitwiseXOR(x["x_fp"])
+    on = (p["key"] == x["key"]) & (p["p_root"] != x["x_root"]) & (p["p_fp"] < x["x_fp"]) & (F.bit_count(differ) <= allocator.max_bits)
+    for j, bits in enumerate(allocator.layout.parts[:-1]):
+        mask = sum(1 << b for b in bits)
+        mask = mask - (1 << 64) if mask >> 63 else mask
+        reached = F.bit_count(differ.bitwiseAND(F.lit(mask).cast("long"))) < F.shiftright(p["p_ts"], 3 * j).bitwiseAND(F.lit(7).cast("long"))
+        on = on & ((F.shiftright(p["key"], 40) <= j) | ~reached)
+    return p.join(x, on).select(F.col("p_fp").alias("a"), F.col("x_fp").alias("b"), F.col("p_root").alias("root_a"), F.col("x_root").alias("root_b"))
 
 
 def with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
