@@ -157,7 +157,7 @@ def test_stream(spark, tmp_path):
 def test_vector_functions(spark):
     from pyspark.sql import functions as F
 
-    row = spark.createDataFrame([([1.0, 2, 3, 4, 5, 6],)], "x array<double>").select(V.flip_horizontal(F.col("x"), 3).alias("f"), V.sign_split(F.col("x")).alias("s"), V.n_patches(F.lit(5), F.lit(3), (6, 2), (1, 1)).alias("n")).first()
+    row = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0, 6.0],)], "x array<double>").select(V.flip_horizontal(F.col("x"), 3).alias("f"), V.sign_split(F.col("x")).alias("s"), V.n_patches(F.lit(5), F.lit(3), (6, 2), (1, 1)).alias("n")).first()
     assert row.f == [3, 2, 1, 6, 5, 4] and row.s == [1, 2, 3, 4, 5, 6] + [0] * 6 and row.n == 0
 
 
