@@ -29,6 +29,8 @@ MOST = 3
 BLOCK = 11
 #: Cost of a probe against that of a candidate.
 PROBE_COST = 30.0
+#: Columns of a shingle set's sketch: the set's size, then the parities of its hashes by their low 8 bits.
+SKETCH = ("n", "b0", "b1", "b2", "b3")
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -49,8 +51,11 @@ def shingle_hashes(text: bytes | None, words: int) -> bytes:
 
 
 def fingerprint(text: bytes | None, words: int) -> int:
-    """Bits that more than half of the shingle hashes have; 0 without words."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: bytes) -> int:
+    """Bits that more than half of the hashes have; 0 without hashes."""
     if not hashes:
         return 0
     rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
@@ -60,16 +65,38 @@ def fingerprint(text: bytes | None, words: int) -> int:
     return int(np.packbits(2 * counts > len(rows)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row; fp is the fingerprint as a signed long."""
+def shingle_set(hashes: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(hashes, ">u8")).view(np.int64) if hashes else np.zeros(0, np.int64)
+
+
+def sketch(hashes: bytes) -> np.ndarray:
+    """The values of SKETCH.
+
+    Where two sketches' parities differ, the sets differ by a shingle at least, so the number of
+    differing bits is never above that of shingles in one set only.
+    """
+    own = shingle_set(hashes)
+    parity = np.bincount(own & 255, minlength=256) & 1
+    return np.r_[len(own), np.packbits(parity.astype(np.uint8)).view(">i8").astype(np.int64)]
+
+
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", sketched: bool = False) -> DataFrame:
+    """(doc_id, fp) for each row, fp being the fingerprint as a signed long; if ``sketched``, also the columns of SKETCH."""
     small_batches(docs.sparkSession)
+    more = SKETCH if sketched else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [fingerprint(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["doc_id", "fp"])
+            out = np.zeros((batch.num_rows, 1 + len(more)), np.int64)
+            for row, t in zip(out, batch.column(1)):
+                hashes = shingle_hashes(t.as_py(), words)
+                row[0] = majority(hashes)
+                if more:
+                    row[1:] = sketch(hashes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in out.T.copy())], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 # ---------------------------------------------------------------- partitions and thresholds
@@ -238,26 +265,30 @@ def _keys(part: int, values: np.ndarray) -> np.ndarray:
     return values | np.int64(part) << np.int64(40)
 
 
+def _longs(df: DataFrame, *more: str) -> str:
+    return ", ".join(f"{c} long" for c in ("key", *df.columns, *more))
+
+
 def index_rows(nodes: DataFrame, layout: Layout) -> DataFrame:
-    """(key, fp, root): one row for each fingerprint and partition; the key holds both the partition and its value."""
+    """key and the columns of ``nodes`` (fp first, all long): one row for each fingerprint and partition; the key holds both the partition and its value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _numbers(batch)
             for i, bits in enumerate(layout.parts):
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(i, take_bits(v, bits))), batch.column(0), batch.column(1)], names=["key", "fp", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(i, take_bits(v, bits))), *batch.columns], names=["key", *batch.schema.names])
 
-    return nodes.select("fp", "root").mapInArrow(run, "key long, fp long, root long")
+    return nodes.mapInArrow(run, _longs(nodes))
 
 
 def probe_rows(nodes: DataFrame, allocator: Allocator) -> DataFrame:
-    """(key, fp, root, ts): the values that each fingerprint probes under its own thresholds; ts packs those (t + 1 in 3 bits each)."""
+    """key, the columns of ``nodes`` and ts: the values that each fingerprint probes under its own thresholds; ts packs those (t + 1 in 3 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, roots = _numbers(batch), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            v = _numbers(batch)
             t, _ = allocator.thresholds(v)
-            ts = sum((t[i].astype(np.int64) + 1) << np.int64(3 * i) for i in range(len(t)))
+            ts = pa.array(sum((t[i].astype(np.int64) + 1) << np.int64(3 * i) for i in range(len(t))))
             for i, bits in enumerate(allocator.layout.parts):
                 own = take_bits(v, bits)
                 for d in range(MOST + 1):
@@ -266,9 +297,10 @@ def probe_rows(nodes: DataFrame, allocator: Allocator) -> DataFrame:
                     for k in range(0, len(at), step):
                         some = at[k : k + step]
                         key = _keys(i, (own[some][:, None] ^ flips).ravel())
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(v[some], len(flips))), pa.array(np.repeat(roots[some], len(flips))), pa.array(np.repeat(ts[some], len(flips)))], names=["key", "fp", "root", "ts"])
+                        each = pa.array(np.repeat(some, len(flips)))
+                        yield pa.RecordBatch.from_arrays([pa.array(key), *(c.take(each) for c in (*batch.columns, ts))], names=["key", *batch.schema.names, "ts"])
 
-    return nodes.select("fp", "root").mapInArrow(run, "key long, fp long, root long, ts long")
+    return nodes.mapInArrow(run, _longs(nodes, "ts"))
 
 
 def chain_edges(index: DataFrame, max_bits: int, lags: int = 6) -> DataFrame:
@@ -309,20 +341,26 @@ def chain_edges(index: DataFrame, max_bits: int, lags: int = 6) -> DataFrame:
     return ranged.select("key", "fp").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def cross_links(nodes: DataFrame, allocator: Allocator) -> DataFrame:
+def cross_links(nodes: DataFrame, allocator: Allocator, min_similarity: float | None = None) -> DataFrame:
     """(a, b, root_a, root_b): all pairs within max_bits whose roots differ, each once.
 
     The distance is part of the join condition, so candidates never become rows; nor does a pair in
-    any but the first partition where its probe reaches it. A bucket whose members all have the
-    probe's root is left out before it is read.
+    any but the first partition where its probe reaches it. With ``min_similarity``, pairs whose
+    sketches rule it out aren't made either: sets A and B that similar differ by at most
+    (1 - s) / (1 + s) (|A| + |B|) shingles. A bucket whose members all have the probe's root is left
+    out before it is read.
     """
     index = index_rows(nodes, allocator.layout)
     probes = probe_rows(nodes, allocator)
     held = index.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     probes = probes.join(held, "key").where("root <> low or root <> high").drop("low", "high")
-    p, x = probes.toDF("key", "p_fp", "p_root", "p_ts"), index.toDF("key", "x_fp", "x_root")
+    p, x = (df.toDF(*(c if c == "key" else f"{side}_{c}" for c in df.columns)) for side, df in (("p", probes), ("x", index)))
     differ = p["p_fp"].bitwiseXOR(x["x_fp"])
     on = (p["key"] == x["key"]) & (p["p_root"] != x["x_root"]) & (p["p_fp"] < x["x_fp"]) & (F.bit_count(differ) <= allocator.max_bits)
+    if min_similarity is not None:
+        unlike = sum((F.bit_count(p[f"p_{c}"].bitwiseXOR(x[f"x_{c}"])) for c in SKETCH[1:]), F.lit(0))
+        on = on & (F.least(p["p_n"], x["x_n"]) >= min_similarity * F.greatest(p["p_n"], x["x_n"]) - 1e-6)
+        on = on & (unlike <= (1 - min_similarity) / (1 + min_similarity) * (p["p_n"] + x["x_n"]) + 1e-6)
     for j, bits in enumerate(allocator.layout.parts[:-1]):
         mask = sum(1 << b for b in bits)
         mask = mask - (1 << 64) if mask >> 63 else mask
@@ -332,22 +370,27 @@ def cross_links(nodes: DataFrame, allocator: Allocator) -> DataFrame:
 
 
 def with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(fp, root): the root of each fingerprint's present root, if it has one."""
+    """``nodes`` with the root of each fingerprint's present root, if it has one."""
     on = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return nodes.join(on, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+    return nodes.join(on, "root", "left").withColumn("root", F.coalesce("top", "root")).select(nodes.columns)
+
 
+def link_groups(fps: DataFrame, max_bits: int, verify=None, min_similarity: float | None = None) -> DataFrame:
+    """(fp, root) of the fingerprints in ``fps``.
 
-def link_groups(fps: DataFrame, max_bits: int, verify=None) -> DataFrame:
-    """(fp, root) of all distinct fingerprints in ``fps`` (fp). verify(pairs a, b) keeps the true ones."""
+    With ``min_similarity``, ``fps`` has one row a fingerprint, with SKETCH, and verify(pairs a, b) keeps the pairs that are so similar.
+    """
     verify = verify or (lambda pairs: pairs)
-    nodes = cut(fps.select("fp").distinct().withColumn("root", F.col("fp")), "fps")
+    columns = ["fp"] if min_similarity is None else ["fp", *SKETCH]
+    rows = fps.select(*columns)
+    nodes = cut((rows.distinct() if min_similarity is None else rows).withColumn("root", F.col("fp")), "fps")
     if nodes.isEmpty():
-        return nodes
+        return nodes.select("fp", "root")
     allocator = plan(nodes, max_bits)
-    near = verify(chain_edges(index_rows(nodes, allocator.layout), max_bits))
+    near = verify(chain_edges(index_rows(nodes.select("fp"), allocator.layout), max_bits))
     nodes = cut(with_roots(nodes, connected_components(near)), "nodes")
-    links = verify(cross_links(nodes, allocator))
-    return with_roots(nodes, connected_components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
+    links = verify(cross_links(nodes, allocator, min_similarity))
+    return with_roots(nodes.select("fp", "root"), connected_components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
 
 
 def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text", min_similarity: float | None = None) -> DataFrame:
@@ -361,13 +404,15 @@ def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int = 4, id_col: s
     never are a component_id unless the whole component has none (then null). Repeated rows and
     equal texts meet in one fingerprint. Extra columns are not read. An empty table gives no rows.
     """
-    fps = cut(fingerprints(docs, words, id_col, text_col), "doc-fps")
+    fps = cut(fingerprints(docs, words, id_col, text_col, min_similarity is not None), "doc-fps")
+    nodes, verify = fps, None
     owners = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    verify = None
     if min_similarity is not None:
-        owners = cut(owners, "owners")
+        first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", *SKETCH)))
+        nodes = cut(fps.groupBy("fp").agg(first.alias("o")).select("fp", F.col("o.doc_id").alias("rep"), "o.n", "o.b0", "o.b1", "o.b2", "o.b3"), "owners")
+        owners = nodes.select("fp", "rep")
         verify = _verifier(docs, owners, words, min_similarity, id_col, text_col)
-    groups = cut(link_groups(fps, max_bits, verify).join(owners, "fp"), "groups")
+    groups = cut(link_groups(nodes, max_bits, verify, min_similarity).join(owners, "fp"), "groups")
     smallest = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
     return fps.join(groups.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
@@ -377,7 +422,7 @@ def _verifier(docs: DataFrame, owners: DataFrame, words: int, least: float, id_c
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(np.frombuffer(shingle_hashes(t.as_py(), words), ">u8").view(np.int64)) for t in batch.column(1)]
+            found = [shingle_set(shingle_hashes(t.as_py(), words)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fp", "shingles"])
 
     def verify(pairs: DataFrame) -> DataFrame:

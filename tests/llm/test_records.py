@@ -93,6 +93,33 @@ def test_similarity_is_verified(spark):
     assert got[4] == 1 and got[3] == 3 and got[2] == 1
 
 
+def test_similar_groups_against_brute_force(spark):
+    rng, texts = np.random.default_rng(5), []
+    for size in (6, 20, 60, 400, 1500):
+        base = [f"w{k}" for k in rng.integers(0, 5000, size)]
+        for changed in (0, 1, 1, 2, 3, 4, 6, 8, 12, 20):
+            own = list(base)
+            for at in rng.integers(0, size, changed):
+                own[at] = f"x{rng.integers(0, 5000)}"
+            texts.append(" ".join(own))
+    sets = [set(simhash.shingle_set(simhash.shingle_hashes(t.encode(), 5)).tolist()) for t in texts]
+    marks = [simhash.sketch(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    fps = [simhash.fingerprint(t.encode(), 5) & (1 << 64) - 1 for t in texts]
+    root = list(range(len(texts)))
+    linked = 0
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            assert np.bitwise_count((marks[a][1:] ^ marks[b][1:]).view(np.uint64)).sum() <= len(sets[a] ^ sets[b])
+            near = bin(fps[a] ^ fps[b]).count("1") <= 9 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            if near:
+                linked += fps[a] != fps[b]
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs, 5, 9, min_similarity=0.8).collect()}
+    assert linked > 20 and got == dict(enumerate(root))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 400), (400, 450), (7, 7)] + [(1000, k) for k in range(1001, 1100)]
     got = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
