@@ -154,8 +154,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 
     got = rows.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "id", "left_semi").select("lang", F.pandas_udf(count, "binary")("text").alias("packed"))
     packed: dict[str, list[bytes]] = {}
-    for lang, data in got.where(F.col("packed").isNotNull()).collect():
-        packed.setdefault(lang, []).append(bytes(data))
+    for lang, data in got.collect():  # a filter on packed would be pushed below the join, and count every text
+        if data is not None:
+            packed.setdefault(lang, []).append(bytes(data))
     return fit_packed({y: sorted(v) for y, v in packed.items()})
 
 
