@@ -68,5 +68,17 @@ def crc_of_id(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")), F.lit(0))
 
 
+def in_sample(id_col: Column, group: Column, rows: dict, size: int) -> Column:
+    """Whether an id's hash puts it in a sample of about ``size`` ids of its group (all, if the group has fewer rows).
+
+    rows: the groups' row counts. An id is in by its own hash alone, so no shuffle picks the sample
+    and a hot group costs no more than another; its size strays by a few square roots of ``size``.
+    """
+    share = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / (1 << 30)
+    parts = [F.lit(x) for y, n in sorted(rows.items()) for x in (y, min(1.0, size / max(n, 1)))]
+    limit = F.element_at(F.create_map(*parts), group) if parts else F.lit(0.0)
+    return F.coalesce(share < limit, F.lit(False))
+
+
 def n_words(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")

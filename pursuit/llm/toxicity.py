@@ -10,12 +10,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, cut, small_batches
+from .common import crc_of_id, cut, in_sample, small_batches
 
-#: Fitting reads so many labelled documents of each class at most, those with the smallest hash.
+#: Fitting reads about so many labelled documents of each class, picked by the hash of their ids.
 SAMPLE = 8000
 #: Words kept: those whose frequency differs between the classes by so many standard errors, the most telling ones first.
 MIN_Z = 5.0
@@ -23,6 +23,10 @@ MIN_DOCS = 5
 MAX_WORDS = 4096
 NEIGHBOURS = 25
 BLOCK = 64
+#: Blocks opened before the first cosine to beat is known.
+FIRST = 4
+#: Texts with the same telling words are scored once; so many results are kept at a time.
+MEMO = 20000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -39,7 +43,7 @@ class Index:
 
     words: dict[str, int]
     idf: np.ndarray
-    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of a word: examples, weights, where each block's begin
+    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of a word: examples (none twice), weights, where each block's begin
     peak: np.ndarray  # words x blocks
     n: np.ndarray
     toxic: np.ndarray
@@ -59,35 +63,36 @@ class Index:
     def search(self, k: np.ndarray, v: np.ndarray, neighbours: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The vectors with the largest cosines that stand for ``neighbours`` examples at least, and all that tie with the last.
 
-        Blocks are opened by falling bound (sum of weight x the word's peak there); the search ends
-        when the next bound is below the cosine reached.
+        Blocks are opened by falling bound (sum of weight x the word's peak there): a few first, then
+        all whose bound reaches the cosine that those gave.
         """
         bound = v @ self.peak[k]
         order = np.argsort(-bound, kind="stable")
-        found_at, found_cos, least = np.zeros(0, int), np.zeros(0), -1.0
-        step = 4
-        for at in range(0, len(order), step):
-            if bound[order[at]] < least - 1e-9 or bound[order[at]] <= 0:
+        order = order[bound[order] > 0]
+        cos, least = np.zeros(len(self.n)), -1.0
+        best = np.zeros(0, int)
+        for some in (order[:FIRST], order[FIRST:]):
+            some = some[bound[some] >= least - 1e-9]
+            if not len(some):
                 break
-            for b in order[at : at + step]:
-                if bound[b] < least - 1e-9 or bound[b] <= 0:
-                    break
-                lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.n))
-                cos = np.zeros(hi - lo)
-                for word, weight in zip(k, v):
-                    ids, w, starts = self.lists[word]
-                    s = slice(starts[b], starts[b + 1])
-                    cos[ids[s] - lo] += weight * w[s]
-                own = np.flatnonzero(cos > 0)
-                found_at, found_cos = np.concatenate([found_at, own + lo]), np.concatenate([found_cos, cos[own]])
-            rank = np.lexsort((found_at, -found_cos))
-            found_at, found_cos = found_at[rank], found_cos[rank]
-            reached = np.searchsorted(np.cumsum(self.n[found_at]), neighbours)
-            if reached < len(found_at):
-                least = found_cos[reached]
-                stay = found_cos >= least - 1e-9
-                found_at, found_cos = found_at[stay], found_cos[stay]
-        return found_at, found_cos
+            few = len(some) * 8 < len(bound)
+            again = np.zeros(len(self.n))
+            for word, weight in zip(k, v):
+                ids, w, starts = self.lists[word]
+                for s in (slice(starts[b], starts[b + 1]) for b in some) if few else (slice(None),):
+                    again[ids[s]] += weight * w[s]
+            new = np.zeros(len(bound), bool)
+            new[some] = True
+            cos = np.where(np.repeat(new, BLOCK)[: len(cos)], again, cos)
+            best = np.flatnonzero(cos > 0)
+            if len(best) > neighbours:  # a vector stands for one example at least, so the others can't be reached
+                best = best[cos[best] >= np.partition(cos[best], -neighbours)[-neighbours] - 1e-9]
+            best = best[np.lexsort((best, -cos[best]))]
+            reached = np.searchsorted(np.cumsum(self.n[best]), neighbours)
+            if reached < len(best):
+                least = cos[best[reached]]
+                best = best[cos[best] >= least - 1e-9]
+        return best, cos[best]
 
     def vote(self, counts: Counter) -> tuple[float, list[int]]:
         """Share of toxic votes, weighted by cosine, and the ids of the nearest examples."""
@@ -173,33 +178,39 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """The index over at most ``sample`` labelled documents of each class.
+    """The index over about ``sample`` labelled documents of each class (all, if it has fewer).
 
     Labels whose crc32(id) mod 5 is 0, null ids and null labels are not read. An id that is labelled
-    more than once is toxic if any of its labels is. Word counts by class are aggregated in Spark;
+    more than once is toxic if any of its labels is. Ids are picked by their hash, so nothing is
+    ranked in one task. Word counts by class are aggregated in Spark;
     the driver receives telling words (MAX_WORDS at most) and the sample's counts of these words only.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null").where(crc_of_id(F.col("id")) % 5 != 0)
     known = known.groupBy("id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("id", "toxic")
+    per_class = {y: n for y, n in known.groupBy("toxic").count().collect()}
+    chosen = known.where(in_sample(F.col("id"), F.col("toxic"), per_class, sample))
+    small_batches(docs.sparkSession)
+
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            yield pd.Series([sorted(word_counts(t if isinstance(t, str) else None).items()) for t in some], dtype="object")
+
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
-    texts = texts.select("id", "toxic", tokens.alias("tokens"), F.xxhash64("text").alias("same"))
-    texts = cut(texts.groupBy("toxic", "same").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens")), "labelled")
+    texts = texts.select("id", "toxic", F.pandas_udf(count, "array<struct<word:string,n:int>>")("text").alias("words"), F.xxhash64("text").alias("same"))
+    texts = cut(texts.groupBy("toxic", "same").agg(F.min("id").alias("id"), F.first("words").alias("words")), "labelled")
     sizes = {y: n for y, n in texts.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return build([(i, Counter(), y) for i, y in texts.select("id", "toxic").collect()], [], {})
-    by_word = texts.select("toxic", F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    by_word = texts.select("toxic", F.explode("words.word").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     p = F.col("n") / F.lit(n_toxic + n_clean)
     z = F.abs(F.col("a") / n_toxic - (F.col("n") - F.col("a")) / n_clean) / F.sqrt(p * (1 - p) * (1 / n_toxic + 1 / n_clean))
     telling = by_word.where((F.col("n") >= MIN_DOCS) & (p < 1) & (z >= MIN_Z)).orderBy(z.desc(), "word").limit(MAX_WORDS)
     seen = [(w, int(a), int(n - a)) for w, a, n in telling.collect()]
     words = choose_words(seen, n_toxic, n_clean)
     freq = {w: a + b for w, a, b in seen}
-    kept = F.filter("tokens", lambda t: t.isin(words)) if words else F.array().cast("array<string>")
-    rows = [(i, Counter(t), y) for i, y, t in texts.select("id", "toxic", kept.alias("t")).collect()]
+    kept = F.filter("words", lambda x: x["word"].isin(words)) if words else F.array().cast("array<struct<word:string,n:int>>")
+    rows = [(i, Counter({x["word"]: x["n"] for x in t}), y) for i, y, t in texts.select("id", "toxic", kept.alias("t")).collect()]
     return build(sorted(rows, key=lambda r: (r[0], r[2], sorted(r[1].items()))), words, freq)
 
 
@@ -213,8 +224,17 @@ def score(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        index, seen = held.value, {}
         for some in texts:
-            found = [held.value.score(word_counts(t if isinstance(t, str) else None)) for t in some]
+            found = []
+            for t in some:
+                own = {w: c for w, c in word_counts(t if isinstance(t, str) else None).items() if w in index.words}
+                key = tuple(sorted(own.items()))
+                if key not in seen:
+                    if len(seen) >= MEMO:
+                        seen.clear()
+                    seen[key] = index.score(Counter(own))
+                found.append(seen[key])
             yield pd.DataFrame({"score": [s for s, _ in found], "evidence": [e for _, e in found]})
 
     return docs.withColumn("toxicity", F.pandas_udf(run, "score double, evidence array<long>")(F.col(text_col)))
