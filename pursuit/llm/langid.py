@@ -8,12 +8,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, small_batches
+from .common import crc_of_id, in_sample, small_batches
 
-#: Fitting reads so many documents of each language at most, those with the smallest hash.
+#: Fitting reads about so many documents of each language, picked by the hash of their ids.
 SAMPLE = 600
 #: Features: hashed byte n-grams, n = 1 to 4.
 FEATURES = 1 << 13
@@ -136,25 +136,25 @@ def fit_texts(rows: list[tuple[str, str]]) -> LanguageModel:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """The model of at most ``sample`` documents of each language.
+    """The model of about ``sample`` documents of each language (all, if it has fewer).
 
-    Rows with crc32(id) mod 4 = 2 or without text or lang are not read for it. The sample is first
-    chosen on ids and languages alone (the limit acts before the shuffle, so one large language is
-    no hot task), then its texts are counted where they are; the driver receives packed counts, at
-    most 48 kB each whatever the texts' lengths, and never a text.
+    Rows with crc32(id) mod 4 = 2 or without text or lang are not read for it; of rows with the same
+    id and lang one counts. Languages are counted, then ids are picked by their hash, so nothing is
+    ranked in one task. Texts are counted where they are; the driver receives packed counts, at most
+    48 kB each whatever the texts' lengths, and never a text.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & (crc_of_id(F.col("id")) % 4 != 2))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("id").distinct()
+    per_lang = {y: n for y, n in rows.groupBy("lang").count().collect()}
 
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for some in texts:
             yield pd.Series([pack(gram_counts(t)) if isinstance(t, str) and _LETTER.search(t) else None for t in some], dtype="object")
 
-    got = rows.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "id", "left_semi").select("lang", F.pandas_udf(count, "binary")("text").alias("packed"))
+    chosen = rows.where(in_sample(F.col("id"), F.col("lang"), per_lang, sample) & F.col("text").isNotNull())
+    got = chosen.select("id", "lang", F.pandas_udf(count, "binary")("text").alias("packed")).groupBy("id", "lang").agg(F.min("packed").alias("packed"))
     packed: dict[str, list[bytes]] = {}
-    for lang, data in got.collect():  # a filter on packed would be pushed below the join, and count every text
+    for _, lang, data in got.collect():
         if data is not None:
             packed.setdefault(lang, []).append(bytes(data))
     return fit_packed({y: sorted(v) for y, v in packed.items()})
