@@ -747,7 +747,7 @@ def class_split(spark, d):
 
 @query()
 def svm(spark, d):
-    return evaluate.LinearSVM(1.0).train(T.vectors(spark, d).where("id < 400")).predict(T.vectors(spark, d))
+    return evaluate.LinearSVM(1.0).train(T.vectors(spark, d)).predict(T.vectors(spark, d))
 
 
 @query("select vec_id as id, cast(dense_rank() over (order by label) - 1 as integer) as label from embeddings")

@@ -164,3 +164,15 @@ def test_vector_functions(spark):
 def test_the_corpus_part_is_optional():
     if importlib.util.find_spec("pursuit.llm.queries") is None:
         assert not any(n.startswith("op") and n[2].isdigit() for n in __spark_entry__.queries())
+
+
+def test_svm_is_trained_on_all_rows(spark, monkeypatch):
+    seen, train = [], evaluate.LinearSVM.train
+
+    def counted(self, signals):
+        seen.append(signals.count())
+        return train(self, signals)
+
+    monkeypatch.setattr(evaluate.LinearSVM, "train", counted)
+    out = catalogue.queries()["svm"](spark, SF)
+    assert seen == [out.count()] and seen[0] > 400
