@@ -31,6 +31,12 @@ BLOCK = 11
 PROBE_COST = 30.0
 #: Columns of a shingle set's sketch: the set's size, then the parities of its hashes by their low 8 bits.
 SKETCH = ("n", "b0", "b1", "b2", "b3")
+#: MinHash bands and values in each: sets at a Jaccard similarity of 0.8 share a band with a probability of 1 - (1 - 0.8^5)^24 = 0.9999.
+BANDS, VALUES = 24, 5
+#: Bands in which neighbours are linked before all bands are searched.
+CHAINED = 6
+#: Odd multipliers, by which the shingle hashes take another order for each MinHash value.
+ORDERS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -80,23 +86,44 @@ def sketch(hashes: bytes) -> np.ndarray:
     return np.r_[len(own), np.packbits(parity.astype(np.uint8)).view(">i8").astype(np.int64)]
 
 
+def bands(own: np.ndarray) -> np.ndarray:
+    """A key for each MinHash band of a shingle set; none for the empty set."""
+    if not len(own):
+        return np.zeros(0, np.int64)
+    low = np.full(len(ORDERS), ~np.uint64(0))
+    for at in range(0, len(own), 1 << 11):
+        np.minimum(low, (ORDERS[:, None] * own[at : at + (1 << 11)].view(np.uint64)).min(1), out=low)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for value in low.reshape(BANDS, VALUES).T:
+        key = (key ^ value) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def node_of(hashes: bytes) -> int:
+    """What stands for a text in the search for similar ones."""
+    return majority(hashes)
+
+
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", sketched: bool = False) -> DataFrame:
-    """(doc_id, fp) for each row, fp being the fingerprint as a signed long; if ``sketched``, also the columns of SKETCH."""
+    """(doc_id, fp) for each row, fp being the fingerprint as a signed long; if ``sketched``, also node, the columns of SKETCH and bands."""
     small_batches(docs.sparkSession)
-    more = SKETCH if sketched else ()
+    more = ("node", *SKETCH) if sketched else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, 1 + len(more)), np.int64)
+            out, keys = np.zeros((batch.num_rows, 1 + len(more)), np.int64), []
             for row, t in zip(out, batch.column(1)):
                 hashes = shingle_hashes(t.as_py(), words)
                 row[0] = majority(hashes)
                 if more:
-                    row[1:] = sketch(hashes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in out.T.copy())], names=["doc_id", "fp", *more])
+                    row[1], row[2:] = node_of(hashes), sketch(hashes)
+                    keys.append(bands(shingle_set(hashes)))
+            held = [pa.array(keys, pa.list_(pa.int64()))] if more else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in out.T.copy()), *held], names=["doc_id", "fp", *more, *(["bands"] if more else [])])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)) + (", bands array<long>" if more else ""))
 
 
 # ---------------------------------------------------------------- partitions and thresholds
@@ -341,14 +368,12 @@ def chain_edges(index: DataFrame, max_bits: int, lags: int = 6) -> DataFrame:
     return ranged.select("key", "fp").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def cross_links(nodes: DataFrame, allocator: Allocator, min_similarity: float | None = None) -> DataFrame:
+def cross_links(nodes: DataFrame, allocator: Allocator) -> DataFrame:
     """(a, b, root_a, root_b): all pairs within max_bits whose roots differ, each once.
 
     The distance is part of the join condition, so candidates never become rows; nor does a pair in
-    any but the first partition where its probe reaches it. With ``min_similarity``, pairs whose
-    sketches rule it out aren't made either: sets A and B that similar differ by at most
-    (1 - s) / (1 + s) (|A| + |B|) shingles. A bucket whose members all have the probe's root is left
-    out before it is read.
+    any but the first partition where its probe reaches it. A bucket whose members all have the
+    probe's root is left out before it is read.
     """
     index = index_rows(nodes, allocator.layout)
     probes = probe_rows(nodes, allocator)
@@ -357,10 +382,6 @@ def cross_links(nodes: DataFrame, allocator: Allocator, min_similarity: float |
     p, x = (df.toDF(*(c if c == "key" else f"{side}_{c}" for c in df.columns)) for side, df in (("p", probes), ("x", index)))
     differ = p["p_fp"].bitwiseXOR(x["x_fp"])
     on = (p["key"] == x["key"]) & (p["p_root"] != x["x_root"]) & (p["p_fp"] < x["x_fp"]) & (F.bit_count(differ) <= allocator.max_bits)
-    if min_similarity is not None:
-        unlike = sum((F.bit_count(p[f"p_{c}"].bitwiseXOR(x[f"x_{c}"])) for c in SKETCH[1:]), F.lit(0))
-        on = on & (F.least(p["p_n"], x["x_n"]) >= min_similarity * F.greatest(p["p_n"], x["x_n"]) - 1e-6)
-        on = on & (unlike <= (1 - min_similarity) / (1 + min_similarity) * (p["p_n"] + x["x_n"]) + 1e-6)
     for j, bits in enumerate(allocator.layout.parts[:-1]):
         mask = sum(1 << b for b in bits)
         mask = mask - (1 << 64) if mask >> 63 else mask
@@ -375,63 +396,132 @@ def with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(on, "root", "left").withColumn("root", F.coalesce("top", "root")).select(nodes.columns)
 
 
-def link_groups(fps: DataFrame, max_bits: int, verify=None, min_similarity: float | None = None) -> DataFrame:
-    """(fp, root) of the fingerprints in ``fps``.
-
-    With ``min_similarity``, ``fps`` has one row a fingerprint, with SKETCH, and verify(pairs a, b) keeps the pairs that are so similar.
-    """
-    verify = verify or (lambda pairs: pairs)
-    columns = ["fp"] if min_similarity is None else ["fp", *SKETCH]
-    rows = fps.select(*columns)
-    nodes = cut((rows.distinct() if min_similarity is None else rows).withColumn("root", F.col("fp")), "fps")
+def link_groups(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root) of the fingerprints in ``fps``."""
+    nodes = cut(fps.select("fp").distinct().withColumn("root", F.col("fp")), "fps")
     if nodes.isEmpty():
-        return nodes.select("fp", "root")
+        return nodes
     allocator = plan(nodes, max_bits)
-    near = verify(chain_edges(index_rows(nodes.select("fp"), allocator.layout), max_bits))
+    near = chain_edges(index_rows(nodes.select("fp"), allocator.layout), max_bits)
     nodes = cut(with_roots(nodes, connected_components(near)), "nodes")
-    links = verify(cross_links(nodes, allocator, min_similarity))
-    return with_roots(nodes.select("fp", "root"), connected_components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
+    links = cross_links(nodes, allocator)
+    return with_roots(nodes, connected_components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
+
+
+# ---------------------------------------------------------------- links by similarity
+
+
+def band_chains(rows: DataFrame, least: float, max_bits: int | None, lags: int = 2) -> DataFrame:
+    """(a, b): candidates among neighbours in a sorted bucket, at most ``lags + 1`` a row whatever its size.
+
+    rows: key, node, fp and SKETCH, all long. What a range boundary cuts is found by band_pairs.
+    """
+    columns = ["key", "node", "fp", *SKETCH]
+    ranged = rows.select(columns).repartitionByRange("key", "n", "node").sortWithinPartitions("key", "n", "node")
+    apart = (1 - least) / (1 + least)
+
+    def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n, m = x[:, 3], y[:, 3]
+        unlike = np.bitwise_count((x[:, 4:] ^ y[:, 4:]).view(np.uint64)).sum(1)
+        on = (x[:, 0] == y[:, 0]) & (x[:, 1] != y[:, 1]) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-6) & (unlike <= apart * (n + m) + 1e-6)
+        return on if max_bits is None else on & (np.bitwise_count((x[:, 2] ^ y[:, 2]).view(np.uint64)) <= max_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, lead = np.zeros((0, len(columns)), np.int64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.stack([c.to_numpy() for c in batch.columns], 1)
+            seen, found = np.concatenate([old, own]), []
+            for lag in range(1, lags + 1):
+                here = np.arange(max(len(old), lag), len(seen))
+                found.append((seen[here], seen[here - lag]))
+            first = np.flatnonzero(np.r_[True, own[1:, 0] != own[:-1, 0]])
+            leads = own[first]
+            if lead is not None and lead[0] == own[0, 0]:
+                leads[0] = lead
+            lead, old = leads[-1], seen[-lags:]
+            found.append((own, np.repeat(leads, np.diff(np.r_[first, len(own)]), axis=0)))
+            pairs = np.concatenate([np.stack([x[on, 1], y[on, 1]], 1) for x, y in found for on in (possible(x, y),)])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["a", "b"])
+
+    return ranged.mapInArrow(run, "a long, b long").distinct()
+
+
+def band_pairs(rows: DataFrame, least: float, max_bits: int | None) -> DataFrame:
+    """(a, b, root_a, root_b): all pairs that share a band, differ in root and that sizes and sketches don't rule out.
+
+    Sets A and B that similar differ by at most (1 - s) / (1 + s) (|A| + |B|) shingles. The bounds are
+    part of the join condition, and buckets of one root are left out before they are read.
+    """
+    held = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rows = rows.join(held, "key")
+    p, x = (rows.toDF(*(c if c == "key" else f"{side}_{c}" for c in rows.columns)) for side in ("p", "x"))
+    unlike = sum((F.bit_count(F.col(f"p_{c}").bitwiseXOR(F.col(f"x_{c}"))) for c in SKETCH[1:]), F.lit(0))
+    on = (p["key"] == x["key"]) & (F.col("p_root") != F.col("x_root")) & (F.col("p_node") < F.col("x_node"))
+    on = on & (F.least("p_n", "x_n") >= least * F.greatest("p_n", "x_n") - 1e-6) & (unlike <= (1 - least) / (1 + least) * (F.col("p_n") + F.col("x_n")) + 1e-6)
+    if max_bits is not None:
+        on = on & (F.bit_count(F.col("p_fp").bitwiseXOR(F.col("x_fp"))) <= max_bits)
+    return p.join(x, on).select(F.col("p_node").alias("a"), F.col("x_node").alias("b"), F.col("p_root").alias("root_a"), F.col("x_root").alias("root_b")).distinct()
+
+
+def similar_groups(nodes: DataFrame, verify, least: float, max_bits: int | None) -> DataFrame:
+    """(node, root) of ``nodes`` (node, fp, SKETCH, bands); verify(pairs a, b) keeps the pairs that are similar enough."""
+
+    def rows(at: DataFrame, roots: list[str], k: int = BANDS) -> DataFrame:
+        return at.select(F.explode(F.slice("bands", 1, k)).alias("key"), "node", "fp", *SKETCH, *roots)
+
+    near = verify(band_chains(rows(nodes, [], CHAINED), least, max_bits))
+    nodes = cut(with_roots(nodes.withColumn("root", F.col("node")), connected_components(near)), "nodes")
+    links = verify(band_pairs(rows(nodes, ["root"]), least, max_bits))
+    return with_roots(nodes.select("node", "root"), connected_components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
 
 
-def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text", min_similarity: float | None = None) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int | None = 4, id_col: str = "doc_id", text_col: str = "text", min_similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
     Rows whose fingerprints can be joined by steps of at most ``max_bits`` differing bits have the
     same component_id: its smallest doc_id. With ``min_similarity``, a step between different
-    fingerprints also needs that Jaccard similarity of the shingle sets of the two smallest ids.
+    fingerprints also needs that Jaccard similarity of the shingle sets of the two smallest ids;
+    candidates are then found by MinHash bands, and ``max_bits`` may be None (any distance).
 
     Null and blank texts have fingerprint 0 and link like any other. Null ids keep their row and
     never are a component_id unless the whole component has none (then null). Repeated rows and
     equal texts meet in one fingerprint. Extra columns are not read. An empty table gives no rows.
     """
     fps = cut(fingerprints(docs, words, id_col, text_col, min_similarity is not None), "doc-fps")
-    nodes, verify = fps, None
-    owners = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    if min_similarity is not None:
-        first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", *SKETCH)))
-        nodes = cut(fps.groupBy("fp").agg(first.alias("o")).select("fp", F.col("o.doc_id").alias("rep"), "o.n", "o.b0", "o.b1", "o.b2", "o.b3"), "owners")
-        owners = nodes.select("fp", "rep")
-        verify = _verifier(docs, owners, words, min_similarity, id_col, text_col)
-    groups = cut(link_groups(nodes, max_bits, verify, min_similarity).join(owners, "fp"), "groups")
+    if min_similarity is None:
+        node, owners = "fp", fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+        groups = link_groups(fps, max_bits).join(owners, "fp")
+    else:
+        node, more = "node", ("fp", *SKETCH, "bands")
+        first = F.min_by(F.struct(F.col("doc_id").alias("rep"), *more), F.struct(F.col("doc_id").isNull(), "doc_id"))
+        owners = cut(fps.groupBy("node").agg(first.alias("o")).select("node", "o.*"), "owners")
+        verify = _verifier(docs, owners.select("node", "rep"), words, min_similarity, id_col, text_col)
+        groups = similar_groups(owners.drop("rep"), verify, min_similarity, max_bits).join(owners.select("node", "rep"), "node")
+    groups = cut(groups, "groups")
     smallest = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return fps.join(groups.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(groups.join(smallest, "root").select(node, "component_id"), node).select("doc_id", "fp", "component_id")
 
 
 def _verifier(docs: DataFrame, owners: DataFrame, words: int, least: float, id_col: str, text_col: str):
-    """Keeps pairs whose shingle sets are similar enough, compared on the document that owns each fingerprint."""
+    """Keeps pairs whose shingle sets are similar enough, compared on the document that owns each node (node, rep)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(shingle_hashes(t.as_py(), words)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fp", "shingles"])
+            hashes = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
+            own = pa.array([node_of(h) for h in hashes], pa.int64())
+            found = pa.array([shingle_set(h) for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), own, found], names=["node", "own", "shingles"])
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "pairs")
         if pairs.isEmpty():
             return pairs
-        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(owners, "fp")
-        texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text"))
-        shingles = cut(wanted.join(texts, "rep").select("fp", "text").mapInArrow(sets, "fp long, shingles array<long>").dropDuplicates(["fp"]), "shingles")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(owners, "node")
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+        shingles = wanted.join(texts, F.col("rep").eqNullSafe(F.col("doc_id"))).select("node", "text").mapInArrow(sets, "node long, own long, shingles array<long>")
+        shingles = cut(shingles.where("node = own").drop("own").dropDuplicates(["node"]), "shingles")  # an id may have several texts
         one, two = shingles.toDF("a", "s"), shingles.toDF("b", "t")
         same = F.size(F.array_intersect("s", "t"))
         near = same >= least * (F.size("s") + F.size("t") - same)

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pursuit.llm import graph, html, queries, simhash, topk, urlfilter, warc
 from pursuit.llm.common import table
 
@@ -120,6 +121,33 @@ def test_similar_groups_against_brute_force(spark):
     assert linked > 20 and got == dict(enumerate(root))
 
 
+def brute_similar(texts, least=0.8):
+    """Pairs of that Jaccard similarity of five-word shingle sets, and each text's smallest linked one."""
+    sets = [set(simhash.shingle_set(simhash.shingle_hashes(t.encode(), 5)).tolist()) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    root = list(range(len(sets)))
+    for a, b in pairs:
+        x, y = sorted((root[a], root[b]))
+        root = [x if r == y else r for r in root]
+    return pairs, root
+
+
+def test_similar_groups_at_any_distance(spark):
+    rng, texts = np.random.default_rng(8), []
+    for _ in range(60):  # pairs at a similarity just above 0.8
+        base = [f"w{k}" for k in rng.integers(0, 5000, 200)]
+        other = list(base)
+        for at in rng.choice(np.arange(5, 195, 6), 4, replace=False):
+            other[at] = f"x{rng.integers(0, 5000)}"
+        texts += [" ".join(base), " ".join(other)]
+    pairs, root = brute_similar(texts)
+    far = [simhash.fingerprint(texts[a].encode(), 5) ^ simhash.fingerprint(texts[b].encode(), 5) for a, b in pairs]
+    assert sum(f.bit_count() > 9 for f in far) > 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 400), (400, 450), (7, 7)] + [(1000, k) for k in range(1001, 1100)]
     got = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
