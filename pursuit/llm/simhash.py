@@ -101,8 +101,8 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def node_of(hashes: bytes) -> int:
-    """What stands for a text in the search for similar ones."""
-    return majority(hashes)
+    """XXH64 of the sorted shingle set: texts with equal sets are one node in the search for similar ones."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingle_set(hashes).tobytes(), 42)).view(np.int64))
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", sketched: bool = False) -> DataFrame:
@@ -481,13 +481,13 @@ def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int | None = 4, id
     """(doc_id, fp, component_id) for every row of ``docs``.
 
     Rows whose fingerprints can be joined by steps of at most ``max_bits`` differing bits have the
-    same component_id: its smallest doc_id. With ``min_similarity``, a step between different
-    fingerprints also needs that Jaccard similarity of the shingle sets of the two smallest ids;
-    candidates are then found by MinHash bands, and ``max_bits`` may be None (any distance).
+    same component_id: its smallest doc_id. With ``min_similarity``, a step also needs that Jaccard
+    similarity of the two shingle sets, whatever the fingerprints: only equal sets are one without
+    a test. Candidates are then found by MinHash bands, and ``max_bits`` may be None (any distance).
 
-    Null and blank texts have fingerprint 0 and link like any other. Null ids keep their row and
-    never are a component_id unless the whole component has none (then null). Repeated rows and
-    equal texts meet in one fingerprint. Extra columns are not read. An empty table gives no rows.
+    Null and blank texts have fingerprint 0 and an empty set, and link like any other. Null ids keep
+    their row and never are a component_id unless the whole component has none (then null). Repeated
+    rows and equal texts meet in one fingerprint or set. Extra columns are not read. An empty table gives no rows.
     """
     fps = cut(fingerprints(docs, words, id_col, text_col, min_similarity is not None), "doc-fps")
     if min_similarity is None:

@@ -148,6 +148,19 @@ def test_similar_groups_at_any_distance(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(root))
 
 
+def test_equal_fingerprints_are_verified(spark):
+    line = "one common line that comes again and again on the page "
+    texts = [line * 60 + " ".join(f"{c}{k}" for k in range(50)) for c in "abcd"]
+    changed = texts[3].replace("d25", "other")  # near the last text, which doesn't own their fingerprint
+    texts.append(changed)
+    assert len({simhash.fingerprint(t.encode(), 5) for t in texts}) == 1
+    _, root = brute_similar(texts)
+    assert root == [0, 1, 2, 3, 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs, 5, None, min_similarity=0.8).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 400), (400, 450), (7, 7)] + [(1000, k) for k in range(1001, 1100)]
     got = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
