@@ -22,8 +22,8 @@ KINDS = (
 )
 #: A test of whether a text can have a match that passes, run before the matches are listed.
 HINTS = {"assign": KINDS[0][1][:-2] + r"{8})", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
-#: Strings that the battery tests: runs of key characters with letters and digits both.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}"
+#: Strings that the battery tests: runs of key characters with letters and digits both; one may begin right after "=".
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}"
 CANDIDATE_HINT = r"[A-Za-z0-9+/_-]{24}"
 #: Alphabets by encoding: (name, pattern of the whole string, size).
 ENCODINGS = (("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 16), ("base32", r"^[A-Z2-7]+=*$", 32), ("base36", r"^(?:[0-9a-z]+|[0-9A-Z]+)$", 36), ("base64", r"^[A-Za-z0-9+/_-]+=*$", 64))

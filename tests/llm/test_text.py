@@ -142,6 +142,19 @@ def test_redaction(spark):
     assert out == ["a [secret] b", "clean", None, "[secret][secret] é"]
 
 
+def test_keys_after_an_equals_sign(spark):
+    rng = np.random.default_rng(4)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    keys = ["".join(rng.choice(letters, 40)) for _ in range(30)]
+    forms = ["AWS_SECRET_ACCESS_KEY={}\n", "https://host/path?sig={}&x=1", "auth={}", "A_VERY_LONG_NAME_OF_SOME_SECRET_KEY={}", "{}=="]
+    texts = [forms[i % 5].format(k) for i, k in enumerate(keys)]
+    rows = {r.doc_id: r for r in secrets.scan(docs_of(spark, texts)).collect()}
+    hits = [any(s.kind == 3 and r.text[s.start : s.end].rstrip("=") == k for s in r.secret_spans) for k, r in zip(keys, (rows[i] for i in range(30)))]
+    assert sum(hits) >= 27
+    clean = secrets.scan(docs_of(spark, texts)).select("text", secrets.redact(F.col("text"), F.col("secret_spans")).alias("out")).collect()
+    assert sum(k in r.out for r in clean for k in keys) <= 3
+
+
 # ---------------------------------------------------------------- decontamination
 
 
