@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WIDTH = 10
-#: Windows begin at every 4th token of a document and at every token of an item: common runs of WIDTH + 3 tokens or more always share one.
-STRIDE = 4
+#: Items of fewer than WIDTH + SLACK tokens have windows shorter by SLACK than themselves, or their own length if those would be under SHORTEST.
+SLACK = 3
 #: Items of fewer tokens are not looked for.
 SHORTEST = 5
 #: A window counts only with so many literal tokens, and this many of them different.
@@ -51,36 +51,34 @@ def slots(part: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, width, stride, items' pos, key, slots) of every item, at every token, where enough tokens are literal."""
+    """(item_id, width, items' pos, key, slots) of every item, at every token, where enough tokens are literal."""
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(text_col)).alias("toks")).where(F.size("toks") >= SHORTEST)
-    width = F.when(F.size("toks") >= WIDTH + STRIDE - 1, WIDTH).when(F.size("toks") >= SHORTEST + STRIDE - 1, F.size("toks") - STRIDE + 1).otherwise(F.size("toks"))
-    stride = F.when(F.size("toks") >= SHORTEST + STRIDE - 1, STRIDE).otherwise(1)
-    items = items.withColumn("width", width).withColumn("stride", stride)
+    width = F.when(F.size("toks") >= WIDTH + SLACK, WIDTH).when(F.size("toks") >= SHORTEST + SLACK, F.size("toks") - SLACK).otherwise(F.size("toks"))
+    items = items.withColumn("width", width)
     items = items.withColumn("shape", F.transform("toks", lambda t: F.xxhash64(template(t))))
     rows = items.select("*", F.explode(F.sequence(F.lit(0), F.size("toks") - F.col("width"))).alias("i_pos"))
     part = F.slice("toks", F.col("i_pos") + 1, F.col("width"))
     literal = F.size(F.array_distinct(F.filter(part, lambda t: ~F.left(t, F.lit(1)).isin("#", "~", "@"))))
     key = F.xxhash64(F.col("width"), F.slice("shape", F.col("i_pos") + 1, F.col("width")))
-    return rows.where(literal >= LITERALS).select("item_id", "width", "stride", "i_pos", key.alias("key"), slots(part).alias("i_slots"))
+    return rows.where(literal >= LITERALS).select("item_id", "width", "i_pos", key.alias("key"), slots(part).alias("i_slots"))
 
 
-def document_windows(docs: DataFrame, shapes: list[tuple[int, int]], id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, same, pos, key, d_slots): a row for each window of each document; ``same`` tells texts of one id apart.
+def document_windows(docs: DataFrame, widths: list[int], id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, same, pos, key, d_slots): a row for each window of each document, at every token; ``same`` tells texts of one id apart.
 
     Rows carry a window's slots (mostly none), never its text.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("same"), tokens(F.col(text_col)).alias("toks"))
     rows = rows.withColumn("shape", F.transform("toks", lambda t: F.xxhash64(template(t)))).withColumn("any", F.exists("toks", lambda t: F.left(t, F.lit(1)).isin("#", "~", "@")))
 
-    def of(width: int, stride: int) -> Column:
-        def at(k: Column) -> Column:
-            pos = k * stride
+    def of(width: int) -> Column:
+        def at(pos: Column) -> Column:
             held = F.when(F.col("any"), slots(F.slice("toks", pos + 1, width)))
             return F.struct(pos.alias("pos"), F.xxhash64(F.lit(width), F.slice("shape", pos + 1, width)).alias("key"), held.alias("d_slots"))
 
-        return F.when(F.size("toks") >= width, F.transform(F.sequence(F.lit(0), F.floor((F.size("toks") - width) / stride).cast("int")), at))
+        return F.when(F.size("toks") >= width, F.transform(F.sequence(F.lit(0), F.size("toks") - width), at))
 
-    found = [of(w, s) for w, s in shapes]
+    found = [of(w) for w in widths]
     rows = rows.select("doc_id", "same", F.explode(found[0] if len(found) == 1 else F.concat(*[F.coalesce(f, F.array()) for f in found])).alias("w"))
     return rows.select("doc_id", "same", "w.pos", "w.key", F.coalesce("w.d_slots", F.array().cast("array<string>")).alias("d_slots"))
 
@@ -96,20 +94,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     A run is a place in both where every window that matches has the same template and, over all of
     them, slot values in one-to-one relation; kind is ``exact`` if all values are equal, else
-    ``reparameterised``. Runs of 13 tokens or more are always found (shorter items: whole).
+    ``reparameterised``. Runs of 10 tokens are found at any place (of
+    items under 13 tokens: runs of 3 fewer than the item has, of those under 8 the whole item).
 
     Null and blank texts have no windows; items under 5 tokens and windows with fewer than 3 distinct
     literal tokens match nothing. Null ids are kept. Repeated rows and texts give one row per id and
     text. An empty benchmark or table gives no rows. Extra columns are not read.
     """
     items = cut(item_windows(benchmark, item_col, item_text), "items")
-    shapes = [(int(w), int(s)) for w, s in items.select("width", "stride").distinct().orderBy("width", "stride").collect()]
-    if not shapes:
+    widths = [int(r[0]) for r in items.select("width").distinct().orderBy("width").collect()]
+    if not widths:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("same")).where("false").withColumns({"item_id": F.lit(None).cast(benchmark.schema[item_col].dataType), "windows": F.lit(0).cast("long"), "kind": F.lit("")})
     side = items.select("item_id", "i_pos", "key", "i_slots")
     if items.count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
-    hits = document_windows(docs, shapes, id_col, text_col).join(side, "key")
+    hits = document_windows(docs, widths, id_col, text_col).join(side, "key")
     hits = hits.withColumn("pairs", F.arrays_zip(F.col("d_slots").alias("d"), F.col("i_slots").alias("i")))
     hits = hits.where(one_to_one(F.col("pairs")))
     runs = hits.groupBy("doc_id", "same", "item_id", (F.col("pos") - F.col("i_pos")).alias("shift")).agg(F.countDistinct("pos").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))

@@ -185,6 +185,14 @@ def test_slots_must_be_consistent(spark):
     assert found[0] == "reparameterised" and found[2] == "exact" and 1 not in found
 
 
+def test_leaks_do_not_depend_on_the_place(spark):
+    item = "the quick grey cat sleeps under our old wooden table while seven loud children sing in another room"
+    run = " ".join(item.split()[3:13])
+    texts = [f"{'other ' * k}{run} and then it goes on" for k in range(8)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(docs_of(spark, texts), bench).collect()} == set(range(8))
+
+
 def test_leaks_find_every_whole_item(spark):
     out = {(r.doc_id, r.item_id) for r in queries.op2_decontaminate(spark, SF).collect()}
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
