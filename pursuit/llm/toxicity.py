@@ -6,27 +6,31 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, cut, in_sample, small_batches
+from .common import crc_of_id, cut, in_sample, remove, small_batches
 
 #: Fitting reads about so many labelled documents of each class, picked by the hash of their ids.
-SAMPLE = 8000
-#: Words kept: those whose frequency differs between the classes by so many standard errors, the most telling ones first.
-MIN_Z = 5.0
-MIN_DOCS = 5
-MAX_WORDS = 4096
+SAMPLE = 2000
+#: Words are weighted by 1 + (z / TELLING)^2, z being the standard errors between their shares of toxic and of clean examples.
+TELLING = 3.0
 NEIGHBOURS = 25
-BLOCK = 64
-#: Blocks opened before the first cosine to beat is known.
-FIRST = 4
-#: Texts with the same telling words are scored once; so many results are kept at a time.
+BLOCK = 32
+#: Blocks opened before the first cosine to beat is known; each further round opens four times as many.
+FIRST = 8
+#: Words that more than this share of the blocks have are stored as rows.
+WIDE = 0.5
+#: Equal texts of a task are scored once; so many results are kept at a time.
 MEMO = 20000
+#: Directions along which examples are dealt into blocks.
+DIRECTIONS = 12
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -34,207 +38,415 @@ def word_counts(text: str | None) -> Counter:
     return Counter(_WORDS.findall(text.lower())) if text else Counter()
 
 
+def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, end), one after another."""
+    size = ends - starts
+    upto = np.cumsum(size)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts - upto + size, size)
+
+
 @dataclass(frozen=True)
 class Index:
     """Inverted lists over unit example vectors, in blocks of BLOCK examples with each word's largest weight in each block.
 
-    Equal vectors are stored once, with the number of examples (n) and of toxic ones (toxic) that have them.
+    A word's list is a run of entries, one for each block that has the word (its block, its peak there
+    and where its postings begin); an entry's postings are (example, weight). Equal vectors are stored
+    once, with the number of examples that have them (n) and what these weigh in a vote, in all
+    (mass) and the toxic ones alone (toxic). Words that WIDE of the blocks have are kept as rows over
+    all blocks as well, which is how they are read.
     """
 
     words: dict[str, int]
-    idf: np.ndarray
-    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of a word: examples (none twice), weights, where each block's begin
-    peak: np.ndarray  # words x blocks
+    weight: np.ndarray  # of each word: idf x telling factor
+    entries: np.ndarray  # where each word's entries begin
+    block: np.ndarray
+    peak: np.ndarray
+    postings: np.ndarray  # where each entry's postings begin
+    example: np.ndarray
+    value: np.ndarray
+    row: np.ndarray  # of each word: its row in the next two, or -1
+    wide_peak: np.ndarray  # rows x blocks
+    wide_value: np.ndarray  # (rows x blocks) x BLOCK
     n: np.ndarray
+    mass: np.ndarray
     toxic: np.ndarray
     ids: np.ndarray
-    blank: float  # share of toxic examples among those without any of the words
-    offset: float
-    scale: float
+    blank: float  # share of toxic votes among examples without words
+    offset: float = 0.0
+    scale: float = 1.0
+
+    @property
+    def lists(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each word: examples, weights and the blocks that have it."""
+        out = []
+        for a, b in zip(self.entries[:-1], self.entries[1:]):
+            at = slice(self.postings[a], self.postings[b])
+            out.append((self.example[at], self.value[at], self.block[a:b]))
+        return out
+
+    def code(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """(known words, their counts), by word."""
+        at = sorted((self.words[w], c) for w, c in counts.items() if w in self.words)
+        return np.array([k for k, _ in at], np.int64), np.array([c for _, c in at], np.int64)
+
+    def unit(self, k: np.ndarray, c: np.ndarray) -> np.ndarray:
+        v = (1 + np.log(c)) * self.weight[k]
+        return v / math.sqrt(float(v @ v)) if len(v) else v
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        at = sorted((self.words[w], c) for w, c in counts.items() if w in self.words)
-        if not at:
-            return np.zeros(0, int), np.zeros(0)
-        k, c = map(np.array, zip(*at))
-        v = (1 + np.log(c)) * self.idf[k]
-        return k, v / math.sqrt(float(v @ v))
+        k, c = self.code(counts)
+        return k, self.unit(k, c)
 
-    def search(self, k: np.ndarray, v: np.ndarray, neighbours: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, k: np.ndarray, v: np.ndarray, neighbours: int = NEIGHBOURS, opened: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The vectors with the largest cosines that stand for ``neighbours`` examples at least, and all that tie with the last.
 
-        Blocks are opened by falling bound (sum of weight x the word's peak there): a few first, then
-        all whose bound reaches the cosine that those gave.
+        Blocks are opened by falling bound (sum of weight x the word's peak there), until none is left
+        whose bound reaches the last cosine needed. ``opened`` receives (blocks opened, blocks).
         """
-        bound = v @ self.peak[k]
+        row, blocks = self.row[k], -(-len(self.n) // BLOCK)
+        wide, w = row[row >= 0], v[row >= 0]
+        k, v = k[row < 0], v[row < 0]
+        entry, q = spans(self.entries[k], self.entries[k + 1]), np.repeat(v, self.entries[k + 1] - self.entries[k])
+        block = self.block[entry]
+        bound = w @ self.wide_peak[wide] + np.bincount(block, q * self.peak[entry], blocks)
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        cos, least = np.zeros(len(self.n)), -1.0
-        best = np.zeros(0, int)
-        for some in (order[:FIRST], order[FIRST:]):
+        order = order[: np.count_nonzero(bound > 0)]
+        cos, least, at, step = np.zeros(blocks * BLOCK), 0.0, 0, FIRST
+        while at < len(order):
+            some = order[at : at + step]
             some = some[bound[some] >= least - 1e-9]
             if not len(some):
                 break
-            few = len(some) * 8 < len(bound)
-            again = np.zeros(len(self.n))
-            for word, weight in zip(k, v):
-                ids, w, starts = self.lists[word]
-                for s in (slice(starts[b], starts[b + 1]) for b in some) if few else (slice(None),):
-                    again[ids[s]] += weight * w[s]
-            new = np.zeros(len(bound), bool)
-            new[some] = True
-            cos = np.where(np.repeat(new, BLOCK)[: len(cos)], again, cos)
-            best = np.flatnonzero(cos > 0)
-            if len(best) > neighbours:  # a vector stands for one example at least, so the others can't be reached
-                best = best[cos[best] >= np.partition(cos[best], -neighbours)[-neighbours] - 1e-9]
-            best = best[np.lexsort((best, -cos[best]))]
-            reached = np.searchsorted(np.cumsum(self.n[best]), neighbours)
-            if reached < len(best):
-                least = cos[best[reached]]
-                best = best[cos[best] >= least - 1e-9]
+            at, step = at + len(some), step * 4
+            if len(wide):
+                cos.reshape(blocks, BLOCK)[some] += (w @ self.wide_value.take((wide[:, None] * blocks + some).ravel(), 0).reshape(len(wide), -1)).reshape(len(some), BLOCK)
+            chosen = np.zeros(blocks, bool)
+            chosen[some] = True
+            here = chosen[block]
+            own = entry[here]
+            begin, end = self.postings[own], self.postings[own + 1]
+            post = spans(begin, end)
+            cos += np.bincount(self.example[post], np.repeat(q[here], end - begin) * self.value[post], len(cos))
+            if neighbours <= at * BLOCK:  # a vector stands for one example at least, so no more of them are needed
+                least = np.partition(cos, -neighbours)[-neighbours]
+        best = np.flatnonzero((cos > 0) & (cos >= least - 1e-9))
+        best = best[np.lexsort((best, -cos[best]))]
+        reached = np.searchsorted(np.cumsum(self.n[best]), neighbours)
+        if reached < len(best):
+            best = best[cos[best] >= cos[best[reached]] - 1e-9]
+        if opened is not None:
+            opened.append((at, blocks))
         return best, cos[best]
 
-    def vote(self, counts: Counter) -> tuple[float, list[int]]:
-        """Share of toxic votes, weighted by cosine, and the ids of the nearest examples."""
-        k, v = self.vector(counts)
+    def vote(self, k: np.ndarray, c: np.ndarray) -> tuple[float, list[int]]:
+        """Share of toxic votes, weighted by squared cosine, and the ids of the nearest examples."""
         if len(k):
-            at, cos = self.search(k, v)
+            at, cos = self.search(k, self.unit(k, c))
             if len(at):
-                weight = cos * cos * self.n[at]
-                return float((cos * cos * self.toxic[at]).sum() / weight.sum()), [int(x) for x in self.ids[at[:3]]]
+                weight = cos * cos
+                return float((weight @ self.toxic[at]) / (weight @ self.mass[at])), [int(x) for x in self.ids[at[:3]]]
         return self.blank, []
 
-    def score(self, counts: Counter) -> tuple[float, list[int]]:
-        share, near = self.vote(counts)
+    def score(self, k: np.ndarray, c: np.ndarray) -> tuple[float, list[int]]:
+        share, near = self.vote(k, c)
         return 1 / (1 + math.exp(-(self.offset + self.scale * share))), near
 
+    def without_itself(self, e: int, k: np.ndarray, v: np.ndarray, of: dict[int, float]) -> tuple[float, float]:
+        """Shares of toxic votes near example e, once without a toxic and once without a clean one of its own examples; ``of``: what one of a class weighs."""
+        at, cos = self.search(k, v, NEIGHBOURS + 1)
+        own, weight, out = at == e, cos * cos, []
+        for y in (1, 0):
+            total = float(weight @ np.maximum(self.mass[at] - own * of[y], 0))
+            out.append(float(weight @ np.maximum(self.toxic[at] - own * of[y] * y, 0)) / total if total > 0 else self.blank)
+        return out[0], out[1]
 
-def choose_words(seen: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> list[str]:
-    """Words (word, toxic documents, clean documents) that tell the classes apart."""
-    out = []
-    for word, a, b in seen:
-        p = (a + b) / (n_toxic + n_clean)
-        spread = math.sqrt(p * (1 - p) * (1 / n_toxic + 1 / n_clean))
-        z = abs(a / n_toxic - b / n_clean) / spread if spread else 0.0
-        if a + b >= MIN_DOCS and z >= MIN_Z:
-            out.append((-z, word))
-    return [w for _, w in sorted(out)[:MAX_WORDS]]
+
+def telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Factor of each word by the numbers of toxic and clean examples that have it. It is 1 at least, so no word is left out."""
+    if not n_toxic or not n_clean:
+        return np.ones(len(toxic))
+    p = (toxic + clean) / (n_toxic + n_clean)
+    spread = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n_toxic + 1 / n_clean))
+    return 1 + (np.abs(toxic / n_toxic - clean / n_clean) / spread / TELLING) ** 2
+
+
+def dealt(starts: np.ndarray, word: np.ndarray, value: np.ndarray, n_words: int) -> np.ndarray:
+    """Examples in an order that puts like ones into one block: halved again and again along the main directions of their vectors."""
+    n = len(starts) - 1
+    if n <= BLOCK:
+        return np.arange(n)
+    row = np.repeat(np.arange(n), np.diff(starts))
+    by_word = np.argsort(word, kind="stable")
+    first = np.searchsorted(word[by_word], np.arange(n_words + 1))
+
+    def gather(m: np.ndarray, at: np.ndarray, w: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        total = np.vstack([np.zeros(m.shape[1], np.float64), np.cumsum(m[at] * w[:, None], 0, dtype=np.float64)])
+        return total[begin[1:]] - total[begin[:-1]]
+
+    x = np.random.default_rng(7).standard_normal((n, DIRECTIONS))
+    for _ in range(4):
+        x, _ = np.linalg.qr(x - x.mean(0))
+        along = gather(x, row[by_word], value[by_word], first)
+        x = gather(along, word, value, starts)
+    out, todo = [], [np.arange(n)]
+    while todo:
+        some = todo.pop()
+        if len(some) <= BLOCK:
+            out.append(some)
+            continue
+        part = x[some] - x[some].mean(0)
+        axis = np.linalg.eigh(part.T @ part)[1][:, -1]
+        half = -(-len(some) // (2 * BLOCK)) * BLOCK
+        some = some[np.argsort(part @ axis, kind="stable")]
+        todo += [some[half:], some[:half]]
+    return np.concatenate(out)
+
+
+def _direction(k: np.ndarray, c: np.ndarray) -> tuple[bytes, bytes]:
+    """Equal for counts that give one unit vector."""
+    return k.tobytes(), b"" if (c == c[:1]).all() else c.tobytes()
+
+
+def index_of(rows: list[tuple[int | None, np.ndarray, np.ndarray, int]], words: list[str], doc_freq: np.ndarray, n_docs: int, of: dict[int, float]) -> Index:
+    """The index of (id, words, counts, toxic) rows over sorted ``words``, not yet calibrated."""
+    total = [sum(y == c for _, _, _, y in rows) for c in (0, 1)]
+    seen = [np.bincount(np.concatenate([k for _, k, _, y in rows if y == c] or [np.zeros(0, np.int64)]), minlength=len(words)) for c in (0, 1)]
+    weight = (np.log((1 + n_docs) / (1 + doc_freq)) + 1) * telling(seen[1], seen[0], total[1], total[0])
+    of_all = sum(of[y] for _, _, _, y in rows)
+    base = (sum(of[1] for _, _, _, y in rows if y) + 0.5) / (of_all + 1)
+    same: dict[tuple[bytes, bytes], list] = {}
+    for i, k, c, y in rows:
+        held = same.setdefault(_direction(k, c), [k, c, 0, 0.0, 0.0, i])
+        held[2], held[3], held[4], held[5] = held[2] + 1, held[3] + of[y], held[4] + of[y] * y, min(held[5], i)
+    none = same.pop((b"", b""), [None, None, 0, 0.0, 0.0, 0])
+    blank = (none[4] + base) / (none[3] + 1)
+    held = sorted(same.values(), key=lambda h: (h[5], h[0].tobytes(), h[1].tobytes()))
+    lone = Index({w: k for k, w in enumerate(words)}, weight, *[np.zeros(0)] * 13, blank)
+    if not held:
+        return replace(lone, entries=np.zeros(len(words) + 1, np.int64), postings=np.zeros(1, np.int64), block=np.zeros(0, np.int64), example=np.zeros(0, np.int64))
+    sizes = np.array([len(h[0]) for h in held])
+    starts, word = np.r_[0, np.cumsum(sizes)], np.concatenate([h[0] for h in held])
+    value = np.concatenate([lone.unit(h[0], h[1]) for h in held])
+    rank = dealt(starts, word, value, len(words))
+    place = np.empty(len(rank), np.int64)
+    place[rank] = np.arange(len(rank))
+    example = np.repeat(place, sizes)
+    order = np.lexsort((example, word))
+    word, example, value = word[order], example[order], value[order]
+    begins = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)])
+    entries = np.searchsorted(word[begins], np.arange(len(words) + 1))
+    block, peak, postings = example[begins] // BLOCK, np.maximum.reduceat(value, begins), np.r_[begins, len(word)]
+    blocks = -(-len(held) // BLOCK)
+    wide = np.flatnonzero(np.diff(entries) > WIDE * blocks)
+    row = np.full(len(words), -1)
+    row[wide] = np.arange(len(wide))
+    wide_peak, wide_value = np.zeros((len(wide), blocks)), np.zeros((len(wide), blocks * BLOCK))
+    for r, w in enumerate(wide):
+        own = slice(entries[w], entries[w + 1])
+        wide_peak[r, block[own]] = peak[own]
+        own = slice(postings[entries[w]], postings[entries[w + 1]])
+        wide_value[r, example[own]] = value[own]
+    n, mass, toxic, ids = (np.array([held[e][j] for e in rank]) for j in (2, 3, 4, 5))
+    return replace(lone, entries=entries, block=block, peak=peak, postings=postings, example=example, value=value, row=row, wide_peak=wide_peak, wide_value=wide_value.reshape(-1, BLOCK), n=n, mass=mass, toxic=toxic, ids=ids)
+
+
+def vectors_of(index: Index) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(words, unit vector) of each example."""
+    word = np.repeat(np.arange(len(index.entries) - 1), np.diff(index.postings[index.entries]))
+    order = np.lexsort((word, index.example))
+    cuts = np.searchsorted(index.example[order], np.arange(1, len(index.n)))
+    return list(zip(np.split(word[order], cuts), np.split(index.value[order], cuts)))
+
+
+def calibrated(index: Index, shares: list[tuple[float, float]], of: dict[int, float]) -> Index:
+    """The index with the logistic fit of labels on the votes (toxic's, clean's) that each example gets without itself."""
+    rows = [(s, y, m) for (a, b), t, m0 in zip(shares, index.toxic, index.mass - index.toxic) for s, y, m in ((a, 1, t), (b, 0, m0)) if m > 0]
+    x, y, m = (np.array(c, float) for c in zip(*rows)) if rows else (np.zeros(0),) * 3
+    offset, scale = logistic(x, y, m)
+    return replace(index, offset=offset, scale=scale)
 
 
 def build(rows: list[tuple[int | None, Counter, int]], words: list[str], doc_freq: dict[str, int]) -> Index:
-    """The index of (id, counts, toxic) rows. Votes are calibrated on leave-one-out votes by a logistic fit."""
-    at = {w: k for k, w in enumerate(sorted(words))}
-    idf = np.log((1 + len(rows)) / (1 + np.array([doc_freq[w] for w in sorted(words)], float))) + 1 if words else np.zeros(0)
-    base = (sum(y for _, _, y in rows) + 0.5) / (len(rows) + 1)
-    draft = Index(at, idf, [], np.zeros((len(at), 0)), np.zeros(0), np.zeros(0), np.zeros(0), base, 0.0, 1.0)
-    same: dict[tuple, list] = {}
+    """The index of (id, counts, toxic) rows, calibrated in this process."""
+    words = sorted(words)
+    at, of = {w: k for k, w in enumerate(words)}, {0: 1.0, 1: 1.0}
+    coded = []
     for i, counts, y in rows:
-        k, v = draft.vector(counts)
-        held = same.setdefault(tuple(zip(k.tolist(), np.round(v, 12).tolist())), [0, 0, i])
-        held[0], held[1], held[2] = held[0] + 1, held[1] + y, min(held[2], i)
-    none = same.pop((), [0, 0, 0])
-    vectors = sorted(same, key=lambda x: (x, same[x][2]))  # equal leading words stand together, which keeps the peaks of blocks apart
-    blocks = -(-len(vectors) // BLOCK)
-    ids: list[list[int]] = [[] for _ in at]
-    weights: list[list[float]] = [[] for _ in at]
-    peak = np.zeros((len(at), blocks))
-    for e, vec in enumerate(vectors):
-        for word, w in vec:
-            ids[word].append(e)
-            weights[word].append(w)
-            peak[word, e // BLOCK] = max(peak[word, e // BLOCK], w)
-    lists = [(np.array(i, int), np.array(w), np.searchsorted(i, np.arange(blocks + 1) * BLOCK)) for i, w in zip(ids, weights)]
-    n, toxic = (np.array([same[x][j] for x in vectors], float) for j in (0, 1))
-    blank = (none[1] + base) / (none[0] + 1)
-    index = Index(at, idf, lists, peak, n, toxic, np.array([same[x][2] for x in vectors]), blank, 0.0, 1.0)
-    shares, labels = [blank] * int(none[0]), [1] * int(none[1]) + [0] * int(none[0] - none[1])
-    for e, vec in enumerate(vectors):
-        k, v = np.array([x[0] for x in vec]), np.array([x[1] for x in vec])
-        near, cos = index.search(k, v, NEIGHBOURS + 1)
-        for y, count in ((1, toxic[e]), (0, n[e] - toxic[e])):
-            if count:
-                own = near == e
-                less, hit = n[near] - own, toxic[near] - own * y
-                total = float((cos * cos * less).sum())
-                shares += [float((cos * cos * hit).sum()) / total if total > 0 else blank] * int(count)
-                labels += [y] * int(count)
-    offset, scale = logistic(np.array(shares), np.array(labels, float))
-    return Index(at, idf, lists, peak, n, toxic, index.ids, blank, offset, scale)
-
-
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Offset and non-negative slope of y on x, by Newton steps with a small ridge."""
+        pairs = sorted((at[w], c) for w, c in counts.items() if w in at)
+        coded.append((i, np.array([k for k, _ in pairs], np.int64), np.array([c for _, c in pairs], np.int64), y))
+    index = index_of(coded, words, np.array([doc_freq[w] for w in words], float), len(rows), of)
+    return calibrated(index, [index.without_itself(e, k, v, of) for e, (k, v) in enumerate(vectors_of(index))] if len(index.n) else [], of)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[float, float]:
+    """Offset and non-negative slope of y on x, rows weighing ``mass``, by Newton steps with a small ridge."""
     if not len(x):
         return 0.0, 0.0
     a, b = np.zeros(2), np.stack([np.ones(len(x)), x], 1)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(b @ a, -30, 30)))
-        grad = b.T @ (y - p) - 1e-2 * a
-        step = np.linalg.solve((b * (p * (1 - p))[:, None]).T @ b + 1e-2 * np.eye(2), grad)
+        grad = b.T @ (mass * (y - p)) - 1e-2 * a
+        step = np.linalg.solve((b * (mass * p * (1 - p))[:, None]).T @ b + 1e-2 * np.eye(2), grad)
         a = a + np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-9:
             break
     return float(a[0]), max(0.0, float(a[1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """The index over about ``sample`` labelled documents of each class (all, if it has fewer).
+# ---------------------------------------------------------------- over DataFrames
 
-    Labels whose crc32(id) mod 5 is 0, null ids and null labels are not read. An id that is labelled
-    more than once is toxic if any of its labels is. Ids are picked by their hash, so nothing is
-    ranked in one task. Word counts by class are aggregated in Spark;
-    the driver receives telling words (MAX_WORDS at most) and the sample's counts of these words only.
-    """
+
+def code_texts(texts: list[str | None], words: dict[str, int], memo: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(known words, counts) of each text; equal texts are read once."""
+    out = []
+    for t in texts:
+        key = xxhash.xxh3_128_digest(t) if t else b""
+        if key not in memo:
+            if len(memo) >= MEMO:
+                memo.clear()
+            found = sorted((words[w], c) for w, c in word_counts(t).items() if w in words)
+            flat = np.array(found, np.int32).reshape(-1, 2)
+            memo[key] = np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1])
+        out.append(memo[key])
+    return out
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
+
+
+def coded(docs: DataFrame, vocabulary, id_col: str, text_col: str) -> DataFrame:
+    """(id, k, c) of each row: the words of ``vocabulary`` (a broadcast dictionary) in its whole text and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, memo = vocabulary.value, {}
+        for batch in batches:
+            found = code_texts(batch.column(1).to_pylist(), words, memo)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([k for k, _ in found]), _lists([c for _, c in found])], names=["id", "k", "c"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, k array<int>, c array<int>")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str) -> tuple[list, list[str], dict[int, float]]:
+    """(rows, words, class weights): the sample's (id, words, counts, toxic), its sorted words, and the labelled ids that one sampled id of a class stands for."""
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null").where(crc_of_id(F.col("id")) % 5 != 0)
     known = known.groupBy("id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     per_class = {y: n for y, n in known.groupBy("toxic").count().collect()}
     chosen = known.where(in_sample(F.col("id"), F.col("toxic"), per_class, sample))
-    small_batches(docs.sparkSession)
 
-    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for some in texts:
-            yield pd.Series([sorted(word_counts(t if isinstance(t, str) else None).items()) for t in some], dtype="object")
+            found = [sorted(word_counts(t if isinstance(t, str) else None).items()) for t in some]
+            yield pd.DataFrame({"words": [" ".join(w for w, _ in f) for f in found], "counts": [[c for _, c in f] for f in found]})
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    rows = texts.select("id", "toxic", F.xxhash64("text").alias("same"), F.pandas_udf(count, "words string, counts array<int>")("text").alias("w")).select("id", "toxic", "same", "w.*").toArrow()
+    held: dict[tuple[int, int], tuple] = {}
+    for i, y, same, w, c in zip(*(rows.column(x).to_pylist() for x in ("id", "toxic", "same", "words", "counts"))):
+        if (y, same) not in held or i < held[y, same][0]:
+            held[y, same] = (i, w.split(), c)
+    words = sorted({w for _, own, _ in held.values() for w in own})
+    at = {w: k for k, w in enumerate(words)}
+    found = [(i, np.array([at[x] for x in own], np.int64), np.array(c, np.int64), y) for (y, _), (i, own, c) in held.items()]
+    sizes = Counter(y for *_, y in found)
+    return sorted(found, key=lambda r: (r[0], r[3], r[1].tobytes(), r[2].tobytes())), words, {y: per_class.get(y, 0) / max(1, sizes[y]) for y in (0, 1)}
+
+
+def _index(spark: SparkSession, rows: list, words: list[str], of: dict[int, float], texts: DataFrame) -> Index:
+    """The calibrated index; document frequencies are counted over all of ``texts`` (k)."""
+    freq, n = np.zeros(len(words)), texts.count()
+    found = texts.select(F.explode("k").alias("k")).groupBy("k").count().toArrow()
+    freq[found.column("k").to_numpy()] = found.column("count").to_numpy()
+    index = index_of(rows, words, freq, n, of)
+    if not len(index.n):
+        return calibrated(index, [], of)
+    held = spark.sparkContext.broadcast((index, vectors_of(index)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, vectors = held.value
+        for batch in batches:
+            at = batch.column(0).to_pylist()
+            found = [index.without_itself(e, *vectors[e], of) for e in at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in zip(*found))] if found else [batch.column(0), pa.array([], pa.float64()), pa.array([], pa.float64())], names=["id", "a", "b"])
+
+    parts = max(1, min(spark.sparkContext.defaultParallelism, len(index.n) // 64))
+    shares = spark.range(0, len(index.n), 1, parts).mapInArrow(run, "id long, a double, b double").toArrow().to_pydict()
+    held.unpersist()
+    votes = dict(zip(shares["id"], zip(shares["a"], shares["b"])))
+    return calibrated(index, [votes[e] for e in range(len(index.n))], of)
+
+
+def _scores(index: Index, parts: list[tuple[np.ndarray, np.ndarray]], memo: dict) -> tuple[list[float], list[list[int]]]:
+    out = []
+    for k, c in parts:
+        key = xxhash.xxh3_128_digest(k.tobytes() + c.tobytes())
+        if key not in memo:
+            if len(memo) >= MEMO:
+                memo.clear()
+            memo[key] = index.score(k, c)
+        out.append(memo[key])
+    return [s for s, _ in out], [e for _, e in out]
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    texts = texts.select("id", "toxic", F.pandas_udf(count, "array<struct<word:string,n:int>>")("text").alias("words"), F.xxhash64("text").alias("same"))
-    texts = cut(texts.groupBy("toxic", "same").agg(F.min("id").alias("id"), F.first("words").alias("words")), "labelled")
-    sizes = {y: n for y, n in texts.groupBy("toxic").count().collect()}
-    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not n_toxic or not n_clean:
-        return build([(i, Counter(), y) for i, y in texts.select("id", "toxic").collect()], [], {})
-    by_word = texts.select("toxic", F.explode("words.word").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-    p = F.col("n") / F.lit(n_toxic + n_clean)
-    z = F.abs(F.col("a") / n_toxic - (F.col("n") - F.col("a")) / n_clean) / F.sqrt(p * (1 - p) * (1 / n_toxic + 1 / n_clean))
-    telling = by_word.where((F.col("n") >= MIN_DOCS) & (p < 1) & (z >= MIN_Z)).orderBy(z.desc(), "word").limit(MAX_WORDS)
-    seen = [(w, int(a), int(n - a)) for w, a, n in telling.collect()]
-    words = choose_words(seen, n_toxic, n_clean)
-    freq = {w: a + b for w, a, b in seen}
-    kept = F.filter("words", lambda x: x["word"].isin(words)) if words else F.array().cast("array<struct<word:string,n:int>>")
-    rows = [(i, Counter({x["word"]: x["n"] for x in t}), y) for i, y, t in texts.select("id", "toxic", kept.alias("t")).collect()]
-    return build(sorted(rows, key=lambda r: (r[0], r[2], sorted(r[1].items()))), words, freq)
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """The index over about ``sample`` labelled documents of each class (all, if it has fewer).
+
+    Labels whose crc32(id) mod 5 is 0, null ids and null labels are not read. An id that is labelled
+    more than once is toxic if any of its labels is. Ids are picked by their hash, so nothing is
+    ranked in one task; a sampled example votes for as many labelled ones as it stands for, so scores
+    don't drift with the size of the table. Equal texts of a class are one example, with its smallest id.
+    All words of the sample are in the vectors, with document frequencies over all of ``docs``. An empty
+    table of labels gives an index that scores everything alike. Extra columns are not read.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows, words, of = labelled(docs, labels, sample, id_col, text_col)
+    vocabulary = spark.sparkContext.broadcast({w: k for k, w in enumerate(words)})
+    texts = cut(coded(docs, vocabulary, id_col, text_col).select("k"), "coded")
+    index = _index(spark, rows, words, of, texts)
+    remove(spark, texts)
+    return index
 
 
 def score(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct column ``toxicity``: score (0 to 1) and evidence (ids of the nearest examples).
 
-    Null and empty texts, and those without any telling word, get the calibrated share of the
-    examples like them. Whole texts are read; equal texts get equal scores. No shuffle.
+    Null and empty texts, and those without any word of the examples, get the calibrated share of the
+    examples like them. Whole texts are read; equal texts get equal scores, and neighbours that tie all
+    vote. No shuffle. A column ``toxicity`` that ``docs`` has already is an error.
     """
+    if "toxicity" in docs.columns:
+        raise ValueError("docs has a column named toxicity already")
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index, seen = held.value, {}
+        index, seen, memo = held.value, {}, {}
         for some in texts:
-            found = []
-            for t in some:
-                own = {w: c for w, c in word_counts(t if isinstance(t, str) else None).items() if w in index.words}
-                key = tuple(sorted(own.items()))
-                if key not in seen:
-                    if len(seen) >= MEMO:
-                        seen.clear()
-                    seen[key] = index.score(Counter(own))
-                found.append(seen[key])
-            yield pd.DataFrame({"score": [s for s, _ in found], "evidence": [e for _, e in found]})
+            parts = code_texts([t if isinstance(t, str) else None for t in some], index.words, seen)
+            scores, near = _scores(index, parts, memo)
+            yield pd.DataFrame({"score": scores, "evidence": near})
 
     return docs.withColumn("toxicity", F.pandas_udf(run, "score double, evidence array<long>")(F.col(text_col)))
+
+
+def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score, evidence) for each row of ``docs``: ``fit`` and ``score`` of the same table, whose texts are read into word numbers once."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows, words, of = labelled(docs, labels, sample, id_col, text_col)
+    vocabulary = spark.sparkContext.broadcast({w: k for k, w in enumerate(words)})
+    texts = cut(coded(docs, vocabulary, id_col, text_col), "coded")
+    held = spark.sparkContext.broadcast(replace(_index(spark, rows, words, of, texts), words={}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, memo = held.value, {}
+        for batch in batches:
+            k, c = batch.column(1), batch.column(2)
+            ends, k, c = k.offsets.to_numpy()[1:-1] - k.offsets[0].as_py(), k.flatten().to_numpy(), c.flatten().to_numpy()
+            scores, near = _scores(index, list(zip(np.split(k, ends), np.split(c, ends))), memo) if batch.num_rows else ([], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64()))], names=["id", "score", "evidence"])
+
+    return texts.mapInArrow(run, "id long, score double, evidence array<long>").withColumnRenamed("id", id_col)

@@ -78,6 +78,72 @@ def test_block_max_search_is_exact():
         assert set(at) == set(np.flatnonzero((cos >= least - 1e-9) & (cos > 0))) and np.allclose(np.sort(found), np.sort(cos[at]))
 
 
+def test_toxicity_scores_equal_brute_force(spark):
+    """Scores and nearest cosines of whole sf0.01, recomputed with dense vectors over all words of the sample."""
+    docs, labels = (table(spark, SF, t).toPandas() for t in ("documents", "labels"))
+    out = queries.op10_toxicity(spark, SF).toPandas()
+    assert len(out) == len(docs) and set(out.doc_id) == set(docs.doc_id)
+    known = labels[labels.doc_id.notna() & labels.toxic.notna()].groupby("doc_id").toxic.max()
+    text = dict(zip(docs.doc_id, docs.text))
+    train = [(i, int(y > 0)) for i, y in known.items() if zlib.crc32(str(int(i)).encode()) % 5 and i in text]
+    first = {}
+    for i, y in sorted(train):
+        first.setdefault((y, text[i]), i)
+    rows = sorted((i, y) for (y, _), i in first.items())
+    assert max(sum(y == c for _, y in train) for c in (0, 1)) <= toxicity.SAMPLE  # so the sample is everything
+    counts = {i: toxicity.word_counts(t) for i, t in text.items()}
+    words = {w: k for k, w in enumerate(sorted({w for i, _ in rows for w in counts[i]}))}
+    freq, seen = np.zeros(len(words)), np.zeros((2, len(words)))
+    for i in docs.doc_id:
+        freq[[words[w] for w in counts[i] if w in words]] += 1
+    for i, y in rows:
+        seen[y, [words[w] for w in counts[i]]] += 1
+    n1, n0 = (sum(y == c for _, y in rows) for c in (1, 0))
+    share = (seen[1] + seen[0]) / (n1 + n0)
+    z = np.abs(seen[1] / n1 - seen[0] / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+    weight = (np.log((1 + len(docs)) / (1 + freq)) + 1) * (1 + (z / 3) ** 2)
+
+    def unit(i):
+        v = np.zeros(len(words))
+        for w, c in counts[i].items():
+            if w in words:
+                v[words[w]] = (1 + np.log(c)) * weight[words[w]]
+        return v / max(np.linalg.norm(v), 1e-300)
+
+    examples, y, ids = np.stack([unit(i) for i, _ in rows]), np.array([y for _, y in rows]), np.array([i for i, _ in rows])
+    real = examples.any(1)
+    examples, y, ids = examples[real], y[real], ids[real]
+    per = {c: sum(t == c for _, t in train) / n for c, n in ((1, n1), (0, n0))}
+    mass = np.array([per[c] for c in y])
+    shares = []
+    for i in out.doc_id:
+        cos = examples @ unit(i)
+        least = np.sort(cos)[-25]
+        near = (cos > 0) & (cos >= least - 1e-9)
+        shares.append((cos**2 * mass * y)[near].sum() / (cos**2 * mass)[near].sum() if near.any() else np.nan)
+    shares = np.array(shares)
+    some = ~np.isnan(shares)
+    assert some.mean() > 0.98 and (out.evidence.map(len) > 0).mean() > 0.98
+    logit = np.log(out.score / (1 - out.score)).to_numpy()
+    slope, offset = np.polyfit(shares[some], logit[some], 1)  # one line for all: the calibration
+    assert slope > 0 and np.abs(offset + slope * shares[some] - logit[some]).max() < 1e-6
+
+
+def test_search_prunes_blocks(spark):
+    """Fewer than half of the blocks are opened on sf0.1, and what they give is what all blocks give."""
+    sf = "/root/testdata/sf0.1"
+    index = toxicity.fit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    opened, vectors = [], toxicity.vectors_of(index)
+    for k, v in vectors[::20]:
+        at, cos = index.search(k, v, 25, opened)
+        every = np.zeros(len(index.n))
+        for word, weight in zip(k, v):
+            a, b = index.postings[index.entries[word : word + 2]]
+            every[index.example[a:b]] += weight * index.value[a:b]
+        assert np.allclose(np.sort(cos)[::-1][:25], np.sort(every)[::-1][:25])
+    assert sum(a for a, _ in opened) < 0.5 * sum(b for _, b in opened)
+
+
 def test_toxicity_edges(spark):
     docs = docs_of(spark, EDGES)
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(8)], "doc_id long, quality int, toxic int")
