@@ -1,13 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so that a benchmark question matches a copy of
-it with other values. Windows of template tokens are hash-joined; where a window has slots, the
-values on both sides must stand in a one-to-one relation. DataFrame functions only.
+it with other values. Windows of template tokens are hash-joined; over each run of matching windows
+the values in the slots of both sides must stand in a one-to-one relation. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -19,7 +19,11 @@ SLACK = 3
 SHORTEST = 5
 #: A window counts only with so many literal tokens, and this many of them different.
 LITERALS = 3
+#: A stretch of so many tokens with all values equal counts, whatever the slots of the run around it.
+VERBATIM = 20
 BROADCAST_ROWS = 500_000
+#: Scripts without blanks between words: each character is a token.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: Units that may follow a number (fixed values).
 UNITS = "mm|cm|m|km|in|inch|inches|ft|feet|foot|yd|yards?|miles?|mg|g|kg|lbs?|pounds?|oz|ounces?|tons?|ml|l|liters?|litres?|gallons?|s|sec|seconds?|min|minutes?|h|hr|hours?|days?|weeks?|months?|years?|percent|dollars?|euros?|cents?|usd|eur|degrees?|mph|kmh|kwh|watts?|volts?|amps?|hz|khz|mhz|ghz|kb|mb|gb|tb"
 
@@ -30,6 +34,7 @@ def marked(text: Column) -> Column:
     A name is a capitalised word that doesn't begin a sentence or line.
     """
     t = F.translate(F.coalesce(text, F.lit("")), "#~@", "   ")
+    t = F.when(t.rlike(UNSPACED), F.regexp_replace(t, UNSPACED, " $0 ")).otherwise(t)
     t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{L}\p{N},;:][\x20\t])\p{Lu}", "@$0")
     numbers = F.regexp_replace(t, r"(?<![\p{L}\p{N}@])[\p{Sc}]?(\p{Nd}[\p{Nd}.,:/]*)", "#$1")
     numbers = F.regexp_replace(numbers, rf"(?i)(#[^\s#]+\s*?)(?<![\p{{L}}#@])({UNITS})(?![\p{{L}}])", "$1 ~$2")
@@ -46,41 +51,67 @@ def template(token: Column) -> Column:
     return F.when(first.isin("#", "~", "@"), first).otherwise(token)
 
 
-def slots(part: Column) -> Column:
-    return F.filter(part, lambda t: F.left(t, F.lit(1)).isin("#", "~", "@"))
+def literal(token: Column) -> Column:
+    """The token's template with names as lower-cased words, which is the same in a copy in capitals or small letters."""
+    return F.when(F.left(token, F.lit(1)).isin("#", "~"), F.left(token, F.lit(1))).otherwise(F.ltrim(token, F.lit("@")))
 
 
-def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, width, items' pos, key, slots) of every item, at every token, where enough tokens are literal."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(text_col)).alias("toks")).where(F.size("toks") >= SHORTEST)
-    width = F.when(F.size("toks") >= WIDTH + SLACK, WIDTH).when(F.size("toks") >= SHORTEST + SLACK, F.size("toks") - SLACK).otherwise(F.size("toks"))
-    items = items.withColumn("width", width)
-    items = items.withColumn("shape", F.transform("toks", lambda t: F.xxhash64(template(t))))
-    rows = items.select("*", F.explode(F.sequence(F.lit(0), F.size("toks") - F.col("width"))).alias("i_pos"))
-    part = F.slice("toks", F.col("i_pos") + 1, F.col("width"))
-    literal = F.size(F.array_distinct(F.filter(part, lambda t: ~F.left(t, F.lit(1)).isin("#", "~", "@"))))
-    key = F.xxhash64(F.col("width"), F.slice("shape", F.col("i_pos") + 1, F.col("width")))
-    return rows.where(literal >= LITERALS).select("item_id", "width", "i_pos", key.alias("key"), slots(part).alias("i_slots"))
+def slots(part: Column, marks: tuple[str, ...] = ("#", "~", "@")) -> Column:
+    return F.filter(part, lambda t: F.left(t, F.lit(1)).isin(*marks))
 
 
-def document_windows(docs: DataFrame, widths: list[int], id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, same, pos, key, d_slots): a row for each window of each document, at every token; ``same`` tells texts of one id apart.
+#: Forms of a window: with names as slots, and with names as words.
+FORMS = ((template, ("#", "~", "@")), (literal, ("#", "~")))
 
-    Rows carry a window's slots (mostly none), never its text.
-    """
+
+def _key(width: Column, shape: Column, pos: Column) -> Column:
+    return F.xxhash64(width, F.slice(shape, pos + 1, width))
+
+
+def item_windows(benchmark: DataFrame, any_case: bool, item_col: str, text_col: str) -> DataFrame:
+    """(item_id, width, i_pos, form, key, i_slots) of every item, at every token, where enough tokens are literal."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(text_col)).alias("toks")).where(F.size("toks") >= SHORTEST)
+    width = F.when(F.size("toks") >= WIDTH + SLACK, WIDTH).when(F.size("toks") >= SHORTEST + SLACK, F.size("toks") - SLACK).otherwise(F.size("toks"))
+    items = items.withColumn("width", width)
+    out = None
+    for form, (shape, marks) in enumerate(FORMS[: 1 + any_case]):
+        rows = items.withColumn("shape", F.transform("toks", lambda t: F.xxhash64(shape(t))))  # noqa: B023
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("toks") - F.col("width"))).alias("i_pos"))
+        part = F.slice("toks", F.col("i_pos") + 1, F.col("width"))
+        words = F.size(F.array_distinct(F.filter(part, lambda t: ~F.left(t, F.lit(1)).isin(*marks))))  # noqa: B023
+        rows = rows.where(words >= LITERALS).select("item_id", "width", "i_pos", F.lit(form).alias("form"), _key(F.col("width"), F.col("shape"), F.col("i_pos")).alias("key"), slots(part, marks).alias("i_slots"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def document_keys(docs: DataFrame, widths: list[int], any_case: bool, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, same, key): the keys of all windows of each document, at every token; ``same`` tells texts of one id apart."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("same"), tokens(F.col(text_col)).alias("toks"))
-    rows = rows.withColumn("shape", F.transform("toks", lambda t: F.xxhash64(template(t)))).withColumn("any", F.exists("toks", lambda t: F.left(t, F.lit(1)).isin("#", "~", "@")))
 
-    def of(width: int) -> Column:
-        def at(pos: Column) -> Column:
-            held = F.when(F.col("any"), slots(F.slice("toks", pos + 1, width)))
-            return F.struct(pos.alias("pos"), F.xxhash64(F.lit(width), F.slice("shape", pos + 1, width)).alias("key"), held.alias("d_slots"))
+    def keys(shape: Column) -> Column:
+        found = [F.when(F.size(shape) >= w, F.transform(F.sequence(F.lit(0), F.size(shape) - w), lambda at: _key(F.lit(w), shape, at))).otherwise(F.array().cast("array<long>")) for w in widths]  # noqa: B023
+        return found[0] if len(found) == 1 else F.concat(*found)
+
+    shapes = [F.transform("toks", lambda t: F.xxhash64(shape(t))) for shape, _ in FORMS[: 1 + any_case]]  # noqa: B023
+    rows = rows.select("doc_id", "same", *(x.alias(f"shape{k}") for k, x in enumerate(shapes)))
+    found = keys(F.col("shape0"))
+    if any_case:  # the forms differ only where a name is
+        found = F.when(F.col("shape0") == F.col("shape1"), found).otherwise(F.concat(found, keys(F.col("shape1"))))
+    return rows.select("doc_id", "same", F.explode(found).alias("key"))
 
-        return F.when(F.size("toks") >= width, F.transform(F.sequence(F.lit(0), F.size("toks") - width), at))
 
-    found = [of(w) for w in widths]
-    rows = rows.select("doc_id", "same", F.explode(found[0] if len(found) == 1 else F.concat(*[F.coalesce(f, F.array()) for f in found])).alias("w"))
-    return rows.select("doc_id", "same", "w.pos", "w.key", F.coalesce("w.d_slots", F.array().cast("array<string>")).alias("d_slots"))
+def document_windows(docs: DataFrame, widths: list[int], any_case: bool, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, same, form, pos, key, d_slots): a row for each window, at every token."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("same"), tokens(F.col(text_col)).alias("toks"))
+    found = []
+    for form, (shape, marks) in enumerate(FORMS[: 1 + any_case]):
+        hashes = F.transform("toks", lambda t: F.xxhash64(shape(t)))  # noqa: B023
+        for w in widths:
+            at = lambda pos: F.struct(F.lit(form).alias("form"), pos.alias("pos"), _key(F.lit(w), F.col(f"shape{form}"), pos).alias("key"), slots(F.slice("toks", pos + 1, w), marks).alias("d_slots"))  # noqa: B023, E731
+            found.append(F.when(F.size("toks") >= w, F.transform(F.sequence(F.lit(0), F.size("toks") - w), at)))
+        rows = rows.withColumn(f"shape{form}", hashes)
+    rows = rows.select("doc_id", "same", F.explode(F.concat(*[F.coalesce(f, F.array()) for f in found])).alias("w"))
+    return rows.select("doc_id", "same", "w.*")
 
 
 def one_to_one(pairs: Column) -> Column:
@@ -89,36 +120,62 @@ def one_to_one(pairs: Column) -> Column:
     return (F.size(F.array_distinct(F.transform(pairs, lambda p: p["d"]))) == n) & (F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"]))) == n)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def _equal(pairs: Column) -> Column:
+    return F.forall(pairs, lambda p: p["d"] == p["i"])
+
+
+def runs_of(hits: DataFrame) -> DataFrame:
+    """(doc_id, same, item_id, windows, pairs, tokens) of each run: matching windows of one shift, each touching or overlapping the next."""
+    line = ["doc_id", "same", "item_id", "form", "shift"]
+    order = Window.partitionBy(*line).orderBy("pos")
+    fresh = F.coalesce((F.col("pos") - F.lag("pos").over(order) > F.col("width")).cast("int"), F.lit(0))
+    rows = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    pairs = F.array_distinct(F.flatten(F.collect_set("pairs")))
+    return rows.groupBy(*line, "run").agg(F.countDistinct("pos").alias("windows"), pairs.alias("pairs"), (F.max("pos") - F.min("pos") + F.max("width")).alias("tokens"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", any_case: bool = False) -> DataFrame:
     """(doc_id, same, item_id, windows, kind) for each document and item with a common run.
 
-    A run is a place in both where every window that matches has the same template and, over all of
-    them, slot values in one-to-one relation; kind is ``exact`` if all values are equal, else
-    ``reparameterised``. Runs of 10 tokens are found at any place (of
-    items under 13 tokens: runs of 3 fewer than the item has, of those under 8 the whole item).
+    A run is a maximal row of windows at one shift that match in template and touch or overlap. It
+    counts if the values of all its slots are in one-to-one relation. A part of it of 20 tokens with
+    all values equal counts in any case. kind is ``exact`` if a run or such a part has only equal
+    values, else ``reparameterised``; windows is the longest run's. Runs of 10 tokens are found
+    at any place (of items under 13 tokens: runs of 3 fewer than the item has, of those under 8 the
+    whole item). Names are told by capitals; with ``any_case``, windows are also matched with names as
+    lower-cased words, so that a copy in capitals or small letters is found.
 
-    Null and blank texts have no windows; items under 5 tokens and windows with fewer than 3 distinct
+    The texts' window keys are probed first; only documents with a known key are read again, for
+    places and slots. Null and blank texts have no windows; items under 5 tokens and windows with fewer than 3 distinct
     literal tokens match nothing. Null ids are kept. Repeated rows and texts give one row per id and
     text. An empty benchmark or table gives no rows. Extra columns are not read.
     """
-    items = cut(item_windows(benchmark, item_col, item_text), "items")
+    items = cut(item_windows(benchmark, any_case, item_col, item_text), "items")
     widths = [int(r[0]) for r in items.select("width").distinct().orderBy("width").collect()]
     if not widths:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("same")).where("false").withColumns({"item_id": F.lit(None).cast(benchmark.schema[item_col].dataType), "windows": F.lit(0).cast("long"), "kind": F.lit("")})
-    side = items.select("item_id", "i_pos", "key", "i_slots")
-    if items.count() <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    hits = document_windows(docs, widths, id_col, text_col).join(side, "key")
-    hits = hits.withColumn("pairs", F.arrays_zip(F.col("d_slots").alias("d"), F.col("i_slots").alias("i")))
-    hits = hits.where(one_to_one(F.col("pairs")))
-    runs = hits.groupBy("doc_id", "same", "item_id", (F.col("pos") - F.col("i_pos")).alias("shift")).agg(F.countDistinct("pos").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    runs = runs.where(one_to_one(F.col("pairs"))).withColumn("exact", F.forall("pairs", lambda p: p["d"] == p["i"]))
+    small = items.count() <= BROADCAST_ROWS
+    known, side = items.select("key").distinct(), items.select("item_id", "width", "i_pos", "form", "key", "i_slots")
+    keys = document_keys(docs, widths, any_case, id_col, text_col)
+    near = cut(keys.join(F.broadcast(known) if small else known, "key", "left_semi").select("doc_id", "same").distinct(), "near")
+    near = near.toDF("near_id", "near_text")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = own.join(near, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.xxhash64("text") == F.col("near_text")), "left_semi")
+    windows = document_windows(own, widths, any_case, "doc_id", "text")
+    hits = windows.join(F.broadcast(side) if small else side, ["key", "form"])
+    hits = hits.select("doc_id", "same", "item_id", "form", "pos", "width", (F.col("pos") - F.col("i_pos")).alias("shift"), F.arrays_zip(F.col("d_slots").alias("d"), F.col("i_slots").alias("i")).alias("pairs"))
+    hits = hits.dropDuplicates(["doc_id", "same", "item_id", "form", "shift", "pos"])
+    runs = runs_of(hits).where(one_to_one(F.col("pairs"))).withColumn("exact", _equal(F.col("pairs")))
+    whole = runs_of(hits.where(_equal(F.col("pairs")))).where(F.col("tokens") >= VERBATIM).withColumn("exact", F.lit(True))
     kind = F.when(F.max("exact"), "exact").otherwise("reparameterised")
-    return runs.groupBy("doc_id", "same", "item_id").agg(F.max("windows").alias("windows"), kind.alias("kind"))
+    return runs.union(whole).groupBy("doc_id", "same", "item_id").agg(F.max("windows").alias("windows"), kind.alias("kind"))
 
 
 def without_leaks(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of ``docs`` that ``found`` doesn't name, with their own columns."""
-    bad = found.select(F.col("doc_id").alias("leak_id"), F.col("same").alias("leak_text")).distinct()
-    on = F.col(id_col).eqNullSafe(F.col("leak_id")) & (F.xxhash64(text_col) == F.col("leak_text"))
-    return docs.join(bad, on, "left_anti")
+    """The documents of ``docs`` that ``found`` doesn't name, with their own columns, whatever their names.
+
+    Ids and texts are compared, nulls included, so that of rows with one id only those with the leak go.
+    """
+    bad, rows = found.select(F.struct("doc_id", "same").alias("bad")).distinct(), docs.select(F.struct(*docs.columns).alias("row"))
+    on = F.col(f"row.{id_col}").eqNullSafe(F.col("bad.doc_id")) & F.xxhash64(f"row.{text_col}").eqNullSafe(F.col("bad.same"))
+    return rows.join(bad, on, "left_anti").select("row.*")

@@ -19,7 +19,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, windows, kind: every document and benchmark item with a common passage."""
-    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), any_case=True)
     return found.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.min("kind").alias("kind"))
 
 

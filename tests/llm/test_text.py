@@ -272,6 +272,96 @@ def test_leaks_find_every_whole_item(spark):
         assert any(" ".join(a[k : k + 8]) in b for k in range(len(a) - 7))
 
 
+def brute_tokens(text):
+    import regex
+
+    t = (text or "").translate(str.maketrans("#~@", "   "))
+    t = regex.sub(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]", r" \g<0> ", t)
+    t = regex.sub(r"(?<=[\p{L}\p{N},;:][\x20\t])\p{Lu}", r"@\g<0>", t)
+    if regex.search(r"\p{Nd}", t):
+        t = regex.sub(r"(?<![\p{L}\p{N}@])\p{Sc}?(\p{Nd}[\p{Nd}.,:/]*)", r"#\1", t)
+        t = regex.sub(rf"(#[^\s#]+\s*?)(?<![\p{{L}}#@])(?i:({decontaminate.UNITS}))(?![\p{{L}}])", r"\1 ~\2", t)
+    return regex.sub(r"[^\p{L}\p{N}\s#~@]+", "", t).lower().split()
+
+
+def brute_leaks(docs, items):
+    """(doc, item): (windows, kind), by comparing windows as tuples in plain loops."""
+    forms = [(lambda t: t[0] if t[0] in "#~@" else t, "#~@"), (lambda t: t[0] if t[0] in "#~" else t.lstrip("@"), "#~")]
+    index = {}
+    for i, text in items:
+        toks = brute_tokens(text)
+        n = len(toks)
+        w = 10 if n >= 13 else n - 3 if n >= 8 else n
+        for f, (shape, marks) in enumerate(forms):
+            for p in range(n - w + 1 if n >= 5 else 0):
+                part = toks[p : p + w]
+                if len({t for t in part if t[0] not in marks}) >= 3:
+                    index.setdefault((f, w, tuple(map(shape, part))), []).append((i, p, [t for t in part if t[0] in marks]))
+    one = lambda pairs: len(pairs) == len({d for d, _ in pairs}) == len({i for _, i in pairs})
+    out = {}
+    for d, text in docs:
+        toks, lines = brute_tokens(text), {}
+        for f, (shape, marks) in enumerate(forms):
+            shaped = list(map(shape, toks))
+            for w in {w for _, w, _ in index}:
+                for p in range(len(toks) - w + 1):
+                    for i, q, values in index.get((f, w, tuple(shaped[p : p + w])), ()):
+                        own = [t for t in toks[p : p + w] if t[0] in marks]
+                        lines.setdefault((i, f, p - q, w), {})[p] = set(zip(own, values))
+        for (i, _, _, w), found in lines.items():
+            for strict in (False, True):
+                at = sorted(p for p, v in found.items() if not strict or all(a == b for a, b in v))
+                while at:
+                    k = 1
+                    while k < len(at) and at[k] - at[k - 1] <= w:
+                        k += 1
+                    run, at = at[:k], at[k:]
+                    pairs = set().union(*(found[p] for p in run))
+                    if (run[-1] - run[0] + w >= 20) if strict else one(pairs):
+                        n, kind = out.get((d, i), (0, "reparameterised"))
+                        out[d, i] = max(n, k), "exact" if strict or all(a == b for a, b in pairs) else kind
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
+    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
+    found = queries.op2_decontaminate(spark, SF).collect()
+    assert {(r.doc_id, r.item_id): (r.windows, r.kind) for r in found} == brute_leaks(docs, items) and len(found) > 20
+
+
+def test_made_leaks_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    items = [ITEM, "if there are 3 red balls and 3 blue balls in the big box then how many balls are there", "How many books are there on the two long shelves?", "Anna gave Ben 4 kg of rice and Ben gave Anna 9 kg of flour so who of Anna and Ben has more now"]
+    docs = []
+    for k in range(120):
+        words = items[k % 4].split()
+        for _ in range(rng.integers(0, 4)):
+            words[rng.integers(len(words))] = rng.choice(["3", "8", "Ben", "Zoe", "rice", "9", "kg"])
+        text = " ".join(["so"] * rng.integers(0, 3) + words + ["end"] * rng.integers(0, 3))
+        docs.append((text, text.upper(), text.lower())[rng.integers(3)])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.windows, r.kind) for r in decontaminate.leaks(docs_of(spark, docs), bench, any_case=True).collect()}
+    assert found == brute_leaks(list(enumerate(docs)), list(enumerate(items))) and {k for _, k in found.values()} == {"exact", "reparameterised"}
+
+
+def test_leaks_in_any_case_and_without_blanks(spark):
+    asian = "小明有三个红苹果和五个绿苹果，他一共有多少个苹果？"
+    bench = spark.createDataFrame([(1, ITEM), (2, asian)], "item_id long, text string")
+    docs = docs_of(spark, [f"intro {ITEM.upper()}", ITEM.lower(), f"前面的话。{asian}后面的话。", "一个完全不同的句子，没有任何共同之处，只是为了测试而已。"])
+    assert {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(docs, bench, any_case=True).collect()} == {(0, 1, "exact"), (1, 1, "exact"), (2, 2, "exact")}
+
+
+def test_without_leaks_edges(spark):
+    docs = docs_of(spark, [ITEM, "clean words of another kind", None]).withColumnsRenamed({"fp": "doc", "source": "same"}).withColumn("leak_id", F.lit(1)).withColumn("row", F.lit(2)).withColumn("bad", F.lit(3))
+    docs = docs.union(docs.withColumn("doc_id", F.lit(None).cast("long"))).union(docs.where("doc_id = 1").withColumn("doc_id", F.lit(0).cast("long")))
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    found = decontaminate.leaks(docs, bench)
+    kept = decontaminate.without_leaks(docs, found)
+    assert kept.columns == docs.columns and sorted(str((r.doc_id, r.text is None)) for r in kept.collect()) == sorted(map(str, [(1, False), (2, True), (None, False), (None, True), (0, False)]))
+    assert decontaminate.without_leaks(docs.limit(0), found).count() == 0 and decontaminate.without_leaks(docs, found.limit(0)).count() == docs.count()
+
+
 # ---------------------------------------------------------------- mixing
 
 
