@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (single-machine tests) a local one is made.
+    Only where the session names none and its executors are in this process (single-machine tests) a local one is made.
     """
     app = spark.sparkContext.applicationId
     found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(app)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = _OWN[app] = tempfile.mkdtemp(prefix="pursuit-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -80,5 +82,12 @@ def in_sample(id_col: Column, group: Column, rows: dict, size: int) -> Column:
     return F.coalesce(share < limit, F.lit(False))
 
 
+def without_texts(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` but those whose id and text ``bad`` (id, xxhash64 of the text) names, nulls included; any column names may clash."""
+    bad, rows = bad.distinct().select(F.struct(*bad.columns).alias("bad")), docs.select(F.struct(*docs.columns).alias("row"))
+    on = F.col(f"row.{id_col}").eqNullSafe(F.col(f"bad.{bad.schema[0].dataType.names[0]}")) & F.xxhash64(f"row.{text_col}").eqNullSafe(F.col(f"bad.{bad.schema[0].dataType.names[1]}"))
+    return rows.join(bad, on, "left_anti").select("row.*")
+
+
 def n_words(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without_texts
 
 WIDTH = 10
 #: Items of fewer than WIDTH + SLACK tokens have windows shorter by SLACK than themselves, or their own length if those would be under SHORTEST.
@@ -176,6 +176,4 @@ def without_leaks(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
 
     Ids and texts are compared, nulls included, so that of rows with one id only those with the leak go.
     """
-    bad, rows = found.select(F.struct("doc_id", "same").alias("bad")).distinct(), docs.select(F.struct(*docs.columns).alias("row"))
-    on = F.col(f"row.{id_col}").eqNullSafe(F.col("bad.doc_id")) & F.xxhash64(f"row.{text_col}").eqNullSafe(F.col("bad.same"))
-    return rows.join(bad, on, "left_anti").select("row.*")
+    return without_texts(docs, found.select("doc_id", "same"), id_col, text_col)

@@ -165,7 +165,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     Null texts and texts without a letter get ``und``, score 0 and are rejected; so is everything if
     nothing could be learned. Whole texts are read, in bounded steps. Rows and other columns stay
-    as they are; no shuffle.
+    as they are, but that a column ``language`` of ``docs`` is replaced; no shuffle.
     """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -202,7 +202,7 @@ def scan(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFra
 
     Null texts count as empty. Two passes over the texts: one gathers the strata of all candidates,
     one decides, so no row needs a key and nothing but the strata's thresholds leaves the rows. Whole
-    texts are read. Other columns stay; the input must not have columns of the added names.
+    texts are read. Other columns stay; columns that have the added names are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rejected = rejections(docs.select(candidates(text).alias("found")), rate)

@@ -106,7 +106,7 @@ def node_of(hashes: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", sketched: bool = False) -> DataFrame:
-    """(doc_id, fp) for each row, fp being the fingerprint as a signed long; if ``sketched``, also node, the columns of SKETCH and bands."""
+    """(doc_id, same, fp) for each row: the text's xxhash64 and the fingerprint as a signed long; if ``sketched``, also node, the columns of SKETCH and bands."""
     small_batches(docs.sparkSession)
     more = ("node", *SKETCH) if sketched else ()
 
@@ -120,10 +120,10 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
                     row[1], row[2:] = node_of(hashes), sketch(hashes)
                     keys.append(bands(shingle_set(hashes)))
             held = [pa.array(keys, pa.list_(pa.int64()))] if more else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in out.T.copy()), *held], names=["doc_id", "fp", *more, *(["bands"] if more else [])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c) for c in out.T.copy()), *held], names=["doc_id", "same", "fp", *more, *(["bands"] if more else [])])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)) + (", bands array<long>" if more else ""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("same"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "same", "fp", *more)) + (", bands array<long>" if more else ""))
 
 
 # ---------------------------------------------------------------- partitions and thresholds
@@ -484,6 +484,8 @@ def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int | None = 4, id
     same component_id: its smallest doc_id. With ``min_similarity``, a step also needs that Jaccard
     similarity of the two shingle sets, whatever the fingerprints: only equal sets are one without
     a test. Candidates are then found by MinHash bands, and ``max_bits`` may be None (any distance).
+    Rows then also have ``same`` (xxhash64 of the text) and ``first``: whether their id and text are
+    the component's smallest (null ids last), which is so of one id and text in each component.
 
     Null and blank texts have fingerprint 0 and an empty set, and link like any other. Null ids keep
     their row and never are a component_id unless the whole component has none (then null). Repeated
@@ -491,17 +493,18 @@ def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int | None = 4, id
     """
     fps = cut(fingerprints(docs, words, id_col, text_col, min_similarity is not None), "doc-fps")
     if min_similarity is None:
-        node, owners = "fp", fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-        groups = link_groups(fps, max_bits).join(owners, "fp")
-    else:
-        node, more = "node", ("fp", *SKETCH, "bands")
-        first = F.min_by(F.struct(F.col("doc_id").alias("rep"), *more), F.struct(F.col("doc_id").isNull(), "doc_id"))
-        owners = cut(fps.groupBy("node").agg(first.alias("o")).select("node", "o.*"), "owners")
-        verify = _verifier(docs, owners.select("node", "rep"), words, min_similarity, id_col, text_col)
-        groups = similar_groups(owners.drop("rep"), verify, min_similarity, max_bits).join(owners.select("node", "rep"), "node")
-    groups = cut(groups, "groups")
-    smallest = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return fps.join(groups.join(smallest, "root").select(node, "component_id"), node).select("doc_id", "fp", "component_id")
+        owners = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+        groups = cut(link_groups(fps, max_bits).join(owners, "fp"), "groups")
+        smallest = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
+        return fps.join(groups.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")
+    own = F.min_by(F.struct(rank.alias("rep"), "fp", *SKETCH, "bands"), rank)
+    owners = cut(fps.groupBy("node").agg(own.alias("o")).select("node", "o.*"), "owners")
+    verify = _verifier(docs, owners.select("node", F.col("rep.doc_id").alias("rep")), words, min_similarity, id_col, text_col)
+    groups = cut(similar_groups(owners.drop("rep"), verify, min_similarity, max_bits).join(owners.select("node", "rep"), "node"), "groups")
+    smallest = groups.groupBy("root").agg(F.min("rep").alias("rep"))
+    first = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("same") == F.col("rep.same"))
+    return fps.join(groups.drop("rep").join(smallest, "root").select("node", "rep"), "node").select("doc_id", "fp", F.col("rep.doc_id").alias("component_id"), "same", first.alias("first"))
 
 
 def _verifier(docs: DataFrame, owners: DataFrame, words: int, least: float, id_col: str, text_col: str):

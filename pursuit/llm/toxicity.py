@@ -415,10 +415,8 @@ def score(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
 
     Null and empty texts, and those without any word of the examples, get the calibrated share of the
     examples like them. Whole texts are read; equal texts get equal scores, and neighbours that tie all
-    vote. No shuffle. A column ``toxicity`` that ``docs`` has already is an error.
+    vote. No shuffle. A column ``toxicity`` that ``docs`` has already is replaced.
     """
-    if "toxicity" in docs.columns:
-        raise ValueError("docs has a column named toxicity already")
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(index)
 

@@ -129,7 +129,8 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFram
     """``pages`` with a struct column ``judged``: host, path, rule, verdict.
 
     Null urls and urls without ``://`` have empty host and path and fit no host rule; patterns still
-    see the url (null: allow). Ties between equal rules go to the first. Rows stay as they are; no shuffle.
+    see the url (null: allow). Ties between equal rules go to the first. Rows stay as they are, but that a
+    column ``judged`` of ``pages`` is replaced; no shuffle.
     """
     small_batches(pages.sparkSession, 5000)
     index = RuleIndex.of(rules, token_counts(pages, rules, url_col))

@@ -359,3 +359,48 @@ def test_pipeline(spark):
     assert out.count() == clean.count()
     share = out.agg(F.sum("taken") / F.sum("size")).first()[0]
     assert abs(share - 1.5) < 0.01
+
+
+EDGE_ROWS = [
+    (5, "one text that a second row has as well, with words enough for five of them"), (5, "something wholly different that only this row with a repeated id holds, dear reader"),
+    (3, "one text that a second row has as well, with words enough for five of them"), (None, "a text without an id that no other row has, and that should stay where it is"),
+    (None, "one text that a second row has as well, with words enough for five of them"), (7, "this row stands here twice with the same id and the same words in it"),
+    (7, "this row stands here twice with the same id and the same words in it"), (8, "w " * 30_000), (9, None), (10, ""),
+]
+
+
+@pytest.fixture
+def edge_docs(spark):
+    """Nulls, repeats, a very long text and columns with the names that operators add."""
+    docs = spark.createDataFrame(EDGE_ROWS, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.when(F.col("doc_id") == 8, None).otherwise("s")).withColumn("n_chars", F.length("text").cast("long"))
+    for name in ("language", "row", "same", "first", "bad", "leak_id", "leak_text", "base_spans", "secret_spans", "clean", "fp", "root", "size", "taken", "hot_text", "id"):
+        docs = docs.withColumn(name, F.lit("own"))
+    return docs
+
+
+def test_near_duplicates_go_by_id_and_text(spark, edge_docs):
+    got = corpus_pipeline.near_duplicates(spark, edge_docs, SF)
+    assert got.columns == edge_docs.columns
+    rows = sorted((str(r.doc_id), (r.text or "")[:9]) for r in got.collect())
+    assert rows == sorted([("3", "one text "), ("5", "something"), ("None", "a text wi"), ("7", "this row "), ("8", "w w w w w"), ("9", "")])
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_meet_edge_rows(spark, edge_docs, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, edge_docs, SF)
+    if k < 4:
+        assert out.columns == edge_docs.columns and out.schema.simpleString() == edge_docs.schema.simpleString()
+        rows = out.collect()
+        assert all(r.language == r.row == r.same == r.secret_spans == r.leak_id == "own" for r in rows)
+    else:
+        rows = out.collect()
+    assert len(rows) == len(EDGE_ROWS) if k in (2, 3, 4) else len(rows) <= len(EDGE_ROWS)
+    assert stage(spark, edge_docs.limit(0), SF).count() == 0
+
+
+def test_added_columns_replace_those_of_their_name(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "<p>hi</p>")], "page_id long, url string, html string").withColumn("judged", F.lit(1)).withColumn("rendered", F.lit(2))
+    assert urlfilter.judge(pages, urlfilter.default_rules()).select("judged.host").first().host == "a.net"
+    assert html.extract(pages).first().rendered == "hi"
+    assert html.extract(pages.limit(0)).count() == 0
