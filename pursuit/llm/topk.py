@@ -11,8 +11,6 @@ from .common import cut, small_batches
 
 #: Vectors and queries are dealt into cells of about so many rows.
 VECTORS, QUERIES = 16384, 1024
-#: Once a query has seen this share of a cell, the threshold can only be passed by reading on; the rest is scored in one product.
-ENOUGH = 0.35
 
 
 class Lists:
@@ -24,12 +22,13 @@ class Lists:
         self.order = np.argsort(-self.x, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.x, self.order, axis=0)
 
-    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, own: int, k: int, share: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows but those with id ``own``; ties to the smaller id.
 
         Sorted access goes down all lists where q is positive and up those where it is negative, twice
         as deep each round. No row that wasn't seen can score above the sum of q times the components
-        reached, so the search ends when the k-th score is above that bound.
+        reached, so the search ends when the k-th score is above that bound, or no row is unseen.
+        ``share`` receives the shares of rows seen and of the lists' lengths read.
         """
         n, dims = len(self.ids), np.flatnonzero(q)
         seen, ids, scores = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0)
@@ -44,8 +43,7 @@ class Lists:
                 new &= ~seen
             else:
                 new = ~seen
-            if done >= n or (seen | new).sum() > ENOUGH * n:
-                new, done = ~seen, n
+                done = n
             at = np.flatnonzero(new)
             seen[at] = True
             ids, scores = np.concatenate([ids, self.ids[at]]), np.concatenate([scores, self.x[at] @ q])
@@ -53,10 +51,10 @@ class Lists:
             ids, scores = ids[keep], scores[keep]
             rank = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[rank], scores[rank]
-            if done >= n:
-                return ids, scores
-            edge = np.where(up, self.sorted[done - 1, dims], self.sorted[n - done, dims])
-            if len(scores) == k and scores[-1] > edge @ q[dims]:
+            edge = np.where(up, self.sorted[done - 1, dims], self.sorted[n - done, dims]) if n else q[dims]
+            if done >= n or seen.all() or (len(scores) == k and scores[-1] > edge @ q[dims]):
+                if share is not None:
+                    share.append((seen.mean(), done / n))
                 return ids, scores
             depth, done = done, min(n, done * 2)
 

@@ -404,3 +404,17 @@ def test_added_columns_replace_those_of_their_name(spark):
     assert urlfilter.judge(pages, urlfilter.default_rules()).select("judged.host").first().host == "a.net"
     assert html.extract(pages).first().rendered == "hi"
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_threshold_ends_by_itself():
+    """The bound decides where components are skewed; where it can't, the search ends once no row is unseen, long before the lists do."""
+    rng = np.random.default_rng(3)
+    for x, few in ((rng.standard_normal((4000, 4)) ** 5, True), (rng.standard_normal((4000, 64)), False)):
+        x = np.floor(x * 100)
+        lists, share = topk.Lists(np.arange(4000), x), []
+        for own in range(0, 4000, 400):
+            ids, scores = lists.search(x[own], own, 5, share)
+            want = sorted((-s, i) for i, s in enumerate(x @ x[own]) if i != own)[:5]
+            assert [(-s, i) for i, s in zip(ids, scores)] == want
+        seen, read = np.mean(share, 0)
+        assert read < 0.5 and (seen < 0.2 or not few)
