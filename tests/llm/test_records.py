@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import importlib.util
+import re
 from html import unescape
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -418,3 +420,76 @@ def test_threshold_ends_by_itself():
             assert [(-s, i) for i, s in zip(ids, scores)] == want
         seen, read = np.mean(share, 0)
         assert read < 0.5 and (seen < 0.2 or not few)
+
+
+DEEP = "<div>" * 300
+#: Of a size n (thousands of characters, about): pages that a careless parser takes quadratic time for.
+HOSTILE = {
+    "open style": lambda n: "<style>" + "x" * 1000 * n + "</style>seen", "comments": lambda n: "<style>" + "/*" * 500 * n + "</style>seen", "spans": lambda n: "<table>" + "<tr><td rowspan=9999 colspan=1000>" * 30 * n + "seen",
+    "steps": lambda n: "<table>" + "<tr><td rowspan=9999>x" * 45 * n + "</table>seen", "unclosed": lambda n: "<div><b>" * 120 * n + "</i>" * 5 * n + "seen", "blocks": lambda n: "<p><button>" + "<div>" * 190 * n + "seen",
+    "rules": lambda n: "<style>" + "".join(f".c{k}{{display:none}}" for k in range(30 * n)) + "</style>" + "<i class=d>" * 30 * n + "seen", "quotes": lambda n: "<a \"" + "<b '>" * 190 * n + "seen", "less": lambda n: "<" * 1000 * n + " seen",
+    "list": lambda n: "<ul><li>" * 120 * n + "seen",
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_pages_take_linear_time(name):
+    import time
+
+    took = []
+    for n in (250, 1000):
+        page, begin = HOSTILE[name](n), time.process_time()
+        assert html.render(page).rstrip().endswith("seen")
+        took.append(time.process_time() - begin)
+    print(name, took)
+    assert took[1] < 1 or took[1] < 8 * took[0]
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        (DEEP + '<p style="display:none">hidden</p>shown', "shown"), ("<div hidden>" + "<div>" * 250 + "hidden" + "</div>" * 251 + "shown", "shown"),
+        (DEEP + "<p hidden><b>no</b>no</p><p>one<p>two", "one\n\ntwo"), (DEEP + "<div hidden>" + DEEP + "no" + "</div>" * 301 + "yes", "yes"),
+        (DEEP + "<i>a</i>b<i>c</i>" + "</div>" * 300 + "d", "abc\nd"), ("<style>/* .a{ */ .b{display:none} @media x{.c{visibility:hidden}} .d{color:red}</style><i class=a>1</i><i class=b>2</i><i class=c>3</i><i class=d>4</i>", "14"),
+        (DEEP + "<details><summary>s</summary>no</details>", "s"), ("<table><tr><td rowspan=3>a<td colspan=2>b<td rowspan=2>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>", "a  b     c\n   d  e\n   f  g  h"),
+        ("<table><tr>" + "".join(f"<td>{k}" for k in range(100)) + "<tr><td>x<td>y</table>", "  ".join(map(str, range(100))) + "\nx  y"),
+    ],
+)
+def test_deep_and_hidden(source, text):
+    assert html.render(source) == text
+
+
+class Visible(HTMLParser):
+    """Words outside of hidden elements, told by a stack alone: an independent check of what is visible."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        gone = "hidden" in a or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style") or "") or tag in ("script", "style", "title", "template", "noframes", "svg", "head", "iframe", "object")
+        if tag not in html.VOID:
+            self.open.append((tag, bool(gone)))
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+
+    def handle_data(self, data):
+        if not any(g for _, g in self.open):
+            self.words += data.split()
+
+
+def test_html_shows_the_words_of_an_independent_parser(spark):
+    out = {r.page_id: r.text for r in queries.op9_html(spark, SF).collect()}
+    same = 0
+    for r in table(spark, SF, "pages").collect():
+        other = Visible()
+        other.feed(r.html or "")
+        other.close()
+        same += "".join(other.words) == "".join(w for w in re.sub(r"(?m)^[\s|]*(?:- |\d+\. )+", "", out[r.page_id]).split())
+    print(same, len(out))
+    assert same >= 0.95 * len(out)
