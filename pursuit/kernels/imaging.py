@@ -106,10 +106,8 @@ class Sift:
         return at, self.normalise(out) if normalise else out
 
     def normalise(self, F: np.ndarray) -> np.ndarray:
-        """Divides by max(length, contrast); rows of enough contrast are clipped and scaled again."""
+        """Divides by max(length, contrast) and clips; rows of enough contrast are scaled again."""
         length = np.linalg.norm(F, axis=1, keepdims=True)
-        out = F / np.maximum(length, self.contrast)
-        high = length[:, 0] >= self.contrast
-        clipped = np.minimum(out[high], self.clip)
-        out[high] = clipped / np.maximum(np.linalg.norm(clipped, axis=1, keepdims=True), np.finfo(float).eps)
-        return out
+        out = np.minimum(F / np.maximum(length, self.contrast), self.clip)
+        again = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), np.finfo(float).eps)
+        return out / np.where(length >= self.contrast, again, 1.0)

@@ -160,6 +160,19 @@ def correlations(signals: DataFrame, atoms: DataFrame) -> DataFrame:
     return signals.select("id", "x").crossJoin(_small(few)).select("id", "k", V.dot(F.col("x"), F.col("d")).alias("a"))
 
 
+def grad_step(signals: DataFrame, atoms: DataFrame, codes: DataFrame, step: float) -> DataFrame:
+    """(id, k, z): one gradient step on all coefficients of long codes (id, k, z), z + step D (x - z D).
+
+    D x and D D^T are inner products, so signals never meet their reconstructions.
+    """
+    few = _small(atoms.select("k", "d"))
+    pulls = F.broadcast(few.select(F.col("k").alias("used"), F.col("d").alias("e")).crossJoin(few).select("used", "k", V.dot(F.col("e"), F.col("d")).alias("g")))
+    back = codes.join(pulls, codes["k"] == pulls["used"]).select("id", pulls["k"], (F.col("z") * F.col("g")).alias("back"), F.when(codes["k"] == pulls["k"], F.col("z")).otherwise(0.0).alias("z"))
+    back = back.groupBy("id", "k").agg(F.sum("back").alias("back"), F.sum("z").alias("z"))
+    rows = correlations(signals, atoms).join(back, ["id", "k"], "left")
+    return rows.select("id", "k", (F.coalesce("z", F.lit(0.0)) + step * (F.col("a") - F.coalesce("back", F.lit(0.0)))).alias("z"))
+
+
 def _small(atoms: DataFrame) -> DataFrame:
     facts = atoms.agg(F.count("*"), F.max(F.size("d"))).first()
     if (facts[0] or 0) * (facts[1] or 0) * 8 > DICTIONARY_MB << 20:

@@ -127,9 +127,9 @@ def sift_dataset(images: DataFrame, n_descriptors: int, patch: int) -> DataFrame
 def normalize_sift(rows: DataFrame, contrast: float = 1.0, clip: float = 0.2) -> DataFrame:
     """The descriptor normalisation as expressions."""
     def one(x):
-        scaled = lambda n: F.transform(x, lambda v: v / F.greatest(n, F.lit(contrast)))
+        clipped = lambda n: F.transform(x, lambda v: F.least(v / F.greatest(n, F.lit(contrast)), F.lit(clip)))
         again = lambda y: V.let(V.norm(y), lambda n: F.transform(y, lambda v: v / F.greatest(n, F.lit(V.EPS))))
-        return V.let(V.norm(x), lambda n: F.when(n >= contrast, again(F.transform(scaled(n), lambda v: F.least(v, F.lit(clip))))).otherwise(scaled(n)))
+        return V.let(V.norm(x), lambda n: F.when(n >= contrast, again(clipped(n))).otherwise(clipped(n)))
 
     return rows.withColumn("x", one(V.doubles(F.col("x"))))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import classify, dictionary, evaluate, images, learn, pooling, preprocess
 from ..operators.encode import FeatureEncoder, SparseEncoder, correlations, long_codes, matrix, top_k
+from ..operators.encode import grad_step as step_codes
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,10 +62,11 @@ def vec_dot(spark, d):
     return correlations(T.signals(spark, d), T.atoms(spark, d)).withColumn("a", r6(F.col("a")))
 
 
-@query(f"{W('e')} select id, i, j, round(x[i + 1] * x[j + 1], 6) + 0.0 as v from (select id, x from e where id < 8), (select unnest(range(64)) as i), (select unnest(range(64)) as j)".replace("select id, i, j", "select id, cast(i as integer) as i, cast(j as integer) as j"))
+@query(f"{W('e')} select cast(i as integer) as i, cast(j as integer) as j, round(sum(x[i + 1] * x[j + 1]), 6) + 0.0 as v from e, (select unnest(range(64)) as i), (select unnest(range(64)) as j) group by all")
 def vec_outer(spark, d):
-    rows = T.vectors(spark, d).where("id < 8").select("id", F.posexplode(V.outer(F.col("x"), F.col("x"))).alias("i", "row"))
-    return rows.select("id", "i", F.posexplode("row").alias("j", "v")).withColumn("v", r6(F.col("v")))
+    """The outer products of all vectors with themselves, added up."""
+    rows = T.vectors(spark, d).select(F.posexplode(V.outer(F.col("x"), F.col("x"))).alias("i", "row"))
+    return rows.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(r6(F.sum("v")).alias("v"))
 
 
 @query(f"{W('nn')} select id, round(n, 6) + 0.0 as n from nn")
@@ -171,15 +173,16 @@ def atom_support(spark, d):
     return dictionary.support(codes, 5).select("id")
 
 
-@query(f"{W('a', 's', 'c')}, t as (select id, k from (select *, row_number() over (partition by id order by a desc, k) as r from c where id < 60) where r <= 1) select k from a where k not in (select k from t)")
+@query(f"{W('a', 's', 'c')}, t as (select id, k from (select *, row_number() over (partition by id order by a desc, k) as r from c) where r <= 1) select k from a where k not in (select k from t)")
 def unused_atoms(spark, d):
-    codes = SparseEncoder("thresh", {"n_nonzero_coefs": 1}).encode(T.signals(spark, d).where("id < 60"), T.atoms(spark, d))
+    codes = SparseEncoder("thresh", {"n_nonzero_coefs": 1}).encode(T.signals(spark, d), T.atoms(spark, d))
     return dictionary.unused_atoms(T.atoms(spark, d), codes).select("k")
 
 
 @query(f"{W('ca')} select k from ca where cls = 4")
 def class_atom_range(spark, d):
-    return T.class_atoms(spark, d).where("cls = 4").select("k")
+    sizes = [r["count"] for r in T.class_atoms(spark, d).groupBy("cls").count().orderBy("cls").collect()]
+    return spark.createDataFrame([(k,) for k in dictionary.class_atoms(sizes, 4)], "k int")
 
 
 # ---------------------------------------------------------------- grids
@@ -187,9 +190,8 @@ def class_atom_range(spark, d):
 
 @query("select cast(i as bigint) as i, cast(((64 - 8) // i + 1) * ((48 - 8) // i + 1) as bigint) as n, cast(least(((64 - 8 + 4) // i + 1) * ((48 - 8 + 4) // i + 1), 100) as bigint) as capped from (select unnest(range(1, 20)) as i)")
 def n_patches(spark, d):
-    h, w = F.lit(64), F.lit(48)
-    count = lambda pad: (F.floor((h - 8 + pad) / F.col("i")) + 1) * (F.floor((w - 8 + pad) / F.col("i")) + 1)
-    return spark.range(1, 20).select(F.col("id").alias("i")).select("i", count(0).alias("n"), F.least(count(4), F.lit(100).cast("long")).alias("capped"))
+    count = lambda padding: V.n_patches(F.lit(64), F.lit(48), (8, 8), (F.col("i"), F.col("i")), padding)
+    return spark.range(1, 20).select(F.col("id").alias("i")).select("i", count(False).alias("n"), F.least(count(True), F.lit(100).cast("long")).alias("capped"))
 
 
 @query("select cast(row_number() over (order by y, x) - 1 as integer) as pos, cast(y as integer) as py, cast(x as integer) as px from (select unnest(range(0, 57, 6)) as y), (select unnest(range(0, 41, 6)) as x)")
@@ -198,13 +200,13 @@ def grid_loc(spark, d):
     return one.select("pos", "at.py", "at.px")
 
 
-_PATCH = """pt as (select img_id, y, x, px from t, (select unnest(range(0, 6, 2)) as y), (select unnest(range(0, 6, 2)) as x) where img_id < 50)
+_PATCH = """pt as (select img_id, y, x, px from t, (select unnest(range(0, 6, 2)) as y), (select unnest(range(0, 6, 2)) as x))
     select img_id, cast((y // 2) * 3 + x // 2 as integer) as pos, cast(p as integer) as p, px[(y + p // 3) * 8 + x + p % 3 + 1] as v from pt, (select unnest(range(9)) as p)"""
 
 
 @query(f"{W('e')}, {_TINY}, {_PATCH}")
 def grid_patches(spark, d):
-    out = images.grid_patches(T.tiny_images(spark, d).where("img_id < 50"), (3, 3), (2, 2))
+    out = images.grid_patches(T.tiny_images(spark, d), (3, 3), (2, 2))
     return out.select("img_id", "pos", F.posexplode("x").alias("p", "v"))
 
 
@@ -221,9 +223,9 @@ def gram(spark, d):
     return dictionary.gram(T.atoms(spark, d)).withColumn("g", r6(F.col("g")))
 
 
-@query(f"{W('a', 's', 'c')} select id, k, round(a, 6) + 0.0 as a from c where id % 7 = 3")
+@query(f"{W('a', 's', 'c')} select id, k, round(a, 6) + 0.0 as a from c")
 def alpha(spark, d):
-    return correlations(T.signals(spark, d).where("id % 7 = 3"), T.atoms(spark, d)).withColumn("a", r6(F.col("a")))
+    return correlations(T.signals(spark, d), T.atoms(spark, d)).withColumn("a", r6(F.col("a")))
 
 
 @query(f"{W('a', 's', 'c')} select id, k, round(a, 6) + 0.0 as z from (select *, row_number() over (partition by id order by a desc, k) as r from c) where r <= 3")
@@ -342,11 +344,8 @@ def llc_knn2(spark, d):
 @query(f"{W('a', 's', 'c', 'g')}, {_ONE} select c.id, c.k, round(case when c.k = f.k then f.a else 0 end + 0.1 * (c.a - f.a * g.g), 6) + 0.0 as z from c join f on f.id = c.id join g on g.k1 = f.k and g.k2 = c.k")
 def grad_step(spark, d):
     """One gradient step from the one-atom code: z + 0.1 D (x - z D)."""
-    corr, g = correlations(T.signals(spark, d), T.atoms(spark, d)), dictionary.gram(T.atoms(spark, d))
-    first = top_k(corr, 1, by_abs=True).select("id", F.col("k").alias("k1"), "z")
-    rows = corr.join(first, "id").join(F.broadcast(g.withColumnRenamed("k2", "k")), ["k1", "k"])
-    z = F.when(F.col("k") == F.col("k1"), F.col("z")).otherwise(0.0) + 0.1 * (F.col("a") - F.col("z") * F.col("g"))
-    return rows.select("id", "k", r6(z).alias("z"))
+    first = top_k(correlations(T.signals(spark, d), T.atoms(spark, d)), 1, by_abs=True)
+    return step_codes(T.signals(spark, d), T.atoms(spark, d), first, 0.1).withColumn("z", r6(F.col("z")))
 
 
 @query(f"{W('a', 's', 'c')}, {_ONE} select id, case when a < 0 then k + 32 else k end as k, round(abs(a), 6) + 0.0 as z from f")
@@ -419,20 +418,17 @@ def drop_coherent(spark, d):
     b as (select u.p as p, sum(u.v * z) as v from l group by 1) select cast(p - 1 as integer) as p, round(v / sqrt((select sum(v * v) from b)), 6) + 0.0 as v from b""")
 def approx_ksvd_first_atom(spark, d):
     """The first atom after one approximate K-SVD update from one-atom codes: R_0 z is then the weighted sum of its signals."""
-    D = matrix(T.atoms(spark, d))
-    s = learn.statistics(T.signals(spark, d), D, SparseEncoder("omp", {"n_nonzero_coefs": 1}))
-    v = s["B"][0] - s["A"][0] @ D + s["A"][0, 0] * D[0]
-    v = v / np.linalg.norm(v)
-    return spark.createDataFrame([(p, float(x)) for p, x in enumerate(v)], "p int, v double").withColumn("v", r6(F.col("v")))
+    learner = learn.KSVD(32, SparseEncoder("omp", {"n_nonzero_coefs": 1}), max_iter=1, method="approx", init=matrix(T.atoms(spark, d)))
+    return exploded(learner.fit(T.signals(spark, d)).atoms(spark).where("k = 0"), "d", "k").drop("k")
 
 
 def _odl_sql(steps: int) -> str:
-    """Online learning with one-atom codes over id ranges of 200, written out."""
-    q = f"{W('a', 's')}, d0 as (select k, d from a)"
+    """Online learning with one-atom codes over equal ranges of all ids, written out."""
+    size = f"(((select count(*) from s) + {steps - 1}) // {steps})"
+    q = f"{W('a', 's')}, sb as (select id, x, (row_number() over (order by id) - 1) // {size} as batch from s), d0 as (select k, d from a)"
     for i in range(steps):
-        low, high = 32 + 200 * i, 32 + 200 * (i + 1)
         before_a = f" + coalesce((select v from aa{i - 1} o where o.k = d.k), 0)" if i else ""
-        q += f""", c{i} as (select s.id, d.k, list_inner_product(s.x, d.d) as a from s, d{i} d where s.id >= {low} and s.id < {high}),
+        q += f""", c{i} as (select s.id, d.k, list_inner_product(s.x, d.d) as a from sb s, d{i} d where s.batch = {i}),
           f{i} as (select id, k, a from (select *, row_number() over (partition by id order by abs(a) desc, k) as r from c{i}) where r = 1),
           aa{i} as (select d.k, coalesce((select sum(a * a) from f{i} f where f.k = d.k), 0){before_a} as v from d{i} d),
           ll{i} as (select f.k, u.p, sum(f.a * u.v) as v from f{i} f join (select id, unnest(list_transform(x, lambda v, j: {{'p': j, 'v': v}})) as u from s) t on t.id = f.id group by all),
@@ -443,8 +439,8 @@ def _odl_sql(steps: int) -> str:
 
 
 def _odl(spark, d, steps):
-    rows = T.signals(spark, d).where(F.col("id") < 32 + 200 * steps)
-    learner = learn.OnlineLearner(32, SparseEncoder("omp", {"n_nonzero_coefs": 1}), batch_size=200, beta=1.0, init=matrix(T.atoms(spark, d)))
+    rows = T.signals(spark, d)
+    learner = learn.OnlineLearner(32, SparseEncoder("omp", {"n_nonzero_coefs": 1}), batch_size=-(-rows.count() // steps), beta=1.0, init=matrix(T.atoms(spark, d)))
     return exploded(learner.fit(rows).atoms(spark), "d", "k")
 
 
@@ -648,9 +644,9 @@ def conv_pool(spark, d):
     return pooling.conv_pool(codes, 8, 8, 3, 2).withColumn("v", r6(F.col("v")))
 
 
-@query(f"{W('e')}, y as (select id, list_transform(x, lambda v: abs(v) * 2) as x from e), n as (select id, x, sqrt(list_inner_product(x, x)) as n from y), c as (select id, n, list_transform(x, lambda v: least(v / greatest(n, 1), case when n >= 1 then 0.2 else 1e9 end)) as x from n), z as (select id, x, case when n >= 1 then sqrt(list_inner_product(x, x)) else 1 end as m from c) {sql_exploded('(select id, list_transform(x, lambda v: v / m) as x from z)')}")
+@query(f"{W('e')}, y as (select id, list_transform(x, lambda v: abs(v) * case when id % 2 = 0 then 2 else 0.9 end) as x from e), n as (select id, x, sqrt(list_inner_product(x, x)) as n from y), c as (select id, n, list_transform(x, lambda v: least(v / greatest(n, 1), 0.2)) as x from n), z as (select id, x, case when n >= 1 then sqrt(list_inner_product(x, x)) else 1 end as m from c) {sql_exploded('(select id, list_transform(x, lambda v: v / m) as x from z)')}")
 def sift_normalize(spark, d):
-    return exploded(images.normalize_sift(T.vectors(spark, d).withColumn("x", F.transform("x", lambda v: F.abs(v) * 2))).select("id", "x"))
+    return exploded(images.normalize_sift(T.vectors(spark, d).withColumn("x", F.transform("x", lambda v: F.abs(v) * F.when(F.col("id") % 2 == 0, 2.0).otherwise(0.9)))).select("id", "x"))
 
 
 @query()
@@ -679,22 +675,22 @@ def whiten(spark, d):
 
 @query()
 def pepper(spark, d):
-    return images.pepper(T.tiny_images(spark, d), 0.25).select("img_id", V.total(F.col("mask")).alias("left_pixels"))
+    return images.pepper(T.tiny_images(spark, d), 0.25).select("img_id", F.posexplode("mask").alias("p", "kept"))
 
 
 @query()
 def add_noise(spark, d):
-    return images.add_noise(T.tiny_images(spark, d), 5.0).select("img_id", r6(F.array_min("px")).alias("low"), r6(F.array_max("px")).alias("high"))
+    return exploded(images.add_noise(T.tiny_images(spark, d), 5.0), "px", "img_id")
 
 
 @query()
 def resize(spark, d):
-    return images.resize(T.images(spark, d), maxdim=32).select("img_id", "h", "w", F.size("px").alias("n"))
+    return images.resize(T.images(spark, d), maxdim=32).select("img_id", "h", "w", F.posexplode("px").alias("p", "v")).withColumn("v", r6(F.col("v")))
 
 
-@query(f"{W('e')}, {_TINY} select img_id, cast(y as integer) as y, cast(x as integer) as x, cast(0 as integer) as ch, px[y * 8 + x + 1] as v from t, (select unnest(range(8)) as y), (select unnest(range(8)) as x) where img_id < 20")
+@query(f"{W('e')}, {_TINY} select img_id, cast(y as integer) as y, cast(x as integer) as x, cast(0 as integer) as ch, px[y * 8 + x + 1] as v from t, (select unnest(range(8)) as y), (select unnest(range(8)) as x)")
 def rebuild_patches(spark, d):
-    rows = T.tiny_images(spark, d).where("img_id < 20")
+    rows = T.tiny_images(spark, d)
     return images.rebuild(images.grid_patches(rows, (4, 4), (2, 2)), rows, (4, 4))
 
 
@@ -753,9 +749,9 @@ def svm(spark, d):
 @query("select vec_id as id, cast(dense_rank() over (order by label) - 1 as integer) as label from embeddings")
 def folder_labels(spark, d):
     """Labels as ordinals of the sorted class names."""
-    rows = T.vectors(spark, d)
-    names = rows.select("label").distinct().withColumn("n", F.dense_rank().over(Window.orderBy("label")) - 1)
-    return rows.join(F.broadcast(names), "label").select("id", F.col("n").cast("int").alias("label"))
+    from ..sources.images import class_labels
+
+    return class_labels(T.vectors(spark, d).select("id", F.col("label").alias("cls"))).select("id", "label")
 
 
 def queries() -> dict[str, Query]:

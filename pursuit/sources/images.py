@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 IMAGES = "path string, img_id long, h int, w int, c int, px array<double>"
 
 
+#: Names of image files.
+IMAGE = r"(?i)\.(png|jpe?g|pgm)$"
+
+
 def is_image(path: str) -> bool:
-    return bool(re.search(r"\.(png|jpe?g|pgm)$", path, re.I))
+    return bool(re.search(IMAGE, path))
 
 
 def read_pgm(data: bytes) -> np.ndarray:
@@ -39,12 +43,17 @@ def read_pgm(data: bytes) -> np.ndarray:
 def find_files(spark: SparkSession, path: str, max_n_classes: int | None = None, min_class_samples: int = 0) -> DataFrame:
     """(path, cls, label): image files by class folder, names in order; classes with too few files are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    rows = files.where(F.col("path").rlike(r"(?i)\.(png|jpe?g|pgm)$")).withColumn("cls", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    rows = files.where(F.col("path").rlike(IMAGE)).withColumn("cls", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    return class_labels(rows, max_n_classes, min_class_samples).select("path", "cls", "label")
+
+
+def class_labels(rows: DataFrame, max_n_classes: int | None = None, min_class_samples: int = 0) -> DataFrame:
+    """``rows`` with ``label``, the place of their ``cls`` among the classes kept, in order."""
     kept = rows.groupBy("cls").count().where(F.col("count") >= min_class_samples)
     kept = kept.withColumn("label", (F.dense_rank().over(Window.orderBy("cls")) - 1).cast("int"))  # one row a class
     if max_n_classes is not None:
         kept = kept.where(F.col("label") < max_n_classes)
-    return rows.join(F.broadcast(kept.select("cls", "label")), "cls").select("path", "cls", "label")
+    return rows.join(F.broadcast(kept.select("cls", "label")), "cls")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

@@ -162,7 +162,7 @@ def test_vector_functions(spark):
 
 
 def test_the_corpus_part_is_optional():
-    if importlib.util.find_spec("pursuit.llm.queries") is None:
+    if not __spark_entry__._there("pursuit.llm.queries"):
         assert not any(n.startswith("op") and n[2].isdigit() for n in __spark_entry__.queries())
 
 
@@ -176,3 +176,39 @@ def test_svm_is_trained_on_all_rows(spark, monkeypatch):
     monkeypatch.setattr(evaluate.LinearSVM, "train", counted)
     out = catalogue.queries()["svm"](spark, SF)
     assert seen == [out.count()] and seen[0] > 400
+
+
+def test_sift_clips_rows_of_low_contrast(spark):
+    from pyspark.sql import functions as F
+
+    from pursuit.kernels.imaging import Sift
+    from pursuit.operators import images
+
+    rows = np.array([[0.9, 0.1, 0.0], [0.1, 0.1, 0.1], [3.0, 4.0, 0.0], [0.0, 0.0, 0.0]])
+    want = [[0.2, 0.1, 0.0], [0.1, 0.1, 0.1], [0.5**0.5, 0.5**0.5, 0.0], [0.0, 0.0, 0.0]]
+    assert np.allclose(Sift(1, 2).normalise(rows), want)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "id int, x array<double>")
+    assert np.allclose([r.x for r in images.normalize_sift(df).orderBy(F.col("id")).collect()], want)
+
+
+def test_gradient_step_is_dense_algebra(spark):
+    from pursuit.operators.encode import grad_step
+
+    rng = np.random.default_rng(3)
+    X, D, Z = rng.standard_normal((9, 5)), rng.standard_normal((4, 5)), rng.standard_normal((9, 4)) * (rng.random((9, 4)) < 0.5)
+    signals = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, x array<double>")
+    atoms = spark.createDataFrame([(k, d.tolist()) for k, d in enumerate(D)], "k int, d array<double>")
+    codes = spark.createDataFrame([(i, k, float(Z[i, k])) for i, k in zip(*(x.tolist() for x in np.nonzero(Z)))], "id long, k int, z double")
+    got = np.zeros_like(Z)
+    for r in grad_step(signals, atoms, codes, 0.1).collect():
+        got[r.id, r.k] = r.z
+    assert np.allclose(got, Z + 0.1 * (X - Z @ D) @ D.T)
+
+
+def test_query_inputs_are_whole_tables():
+    """No registered query of the engine, nor its SQL, bounds ids."""
+    import inspect
+
+    source = inspect.getsource(catalogue)
+    for bound in ("id < 60", "id < 8", "img_id < 50", "img_id < 20", "id % 7", "id < 400", "200 * steps"):
+        assert bound not in source
