@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, without_texts
+from .common import cut, let, without_texts
 
 WIDTH = 10
 #: Items of fewer than WIDTH + SLACK tokens have windows shorter by SLACK than themselves, or their own length if those would be under SHORTEST.
@@ -23,7 +23,8 @@ LITERALS = 3
 VERBATIM = 20
 BROADCAST_ROWS = 500_000
 #: Scripts without blanks between words: each character is a token.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: (Thai, Lao, Myanmar, Khmer, kana, Han, by code point, which is tested faster than by script.)
+UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]"
 #: Units that may follow a number (fixed values).
 UNITS = "mm|cm|m|km|in|inch|inches|ft|feet|foot|yd|yards?|miles?|mg|g|kg|lbs?|pounds?|oz|ounces?|tons?|ml|l|liters?|litres?|gallons?|s|sec|seconds?|min|minutes?|h|hr|hours?|days?|weeks?|months?|years?|percent|dollars?|euros?|cents?|usd|eur|degrees?|mph|kmh|kwh|watts?|volts?|amps?|hz|khz|mhz|ghz|kb|mb|gb|tb"
 
@@ -33,17 +34,28 @@ def marked(text: Column) -> Column:
 
     A name is a capitalised word that doesn't begin a sentence or line.
     """
-    t = F.translate(F.coalesce(text, F.lit("")), "#~@", "   ")
-    t = F.when(t.rlike(UNSPACED), F.regexp_replace(t, UNSPACED, " $0 ")).otherwise(t)
-    t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{L}\p{N},;:][\x20\t])\p{Lu}", "@$0")
-    numbers = F.regexp_replace(t, r"(?<![\p{L}\p{N}@])[\p{Sc}]?(\p{Nd}[\p{Nd}.,:/]*)", "#$1")
-    numbers = F.regexp_replace(numbers, rf"(?i)(#[^\s#]+\s*?)(?<![\p{{L}}#@])({UNITS})(?![\p{{L}}])", "$1 ~$2")
-    t = F.when(t.rlike(r"\p{Nd}"), numbers).otherwise(t)
+
+    def named(t: Column) -> Column:
+        return F.regexp_replace(t, r"[\x20\t](?=\p{Lu})(?<=[\p{L}\p{N},;:].)", "$0@")
+
+    def numbered(t: Column) -> Column:
+        numbers = F.regexp_replace(t, r"(?<![\p{L}\p{N}@])[\p{Sc}]?(\p{Nd}[\p{Nd}.,:/]*)", "#$1")
+        numbers = F.regexp_replace(numbers, rf"(?i)(#[^\s#]+\s*?)(?<![\p{{L}}#@])({UNITS})(?![\p{{L}}])", "$1 ~$2")
+        return F.when(t.rlike(r"\p{Nd}"), numbers).otherwise(t)
+
+    def spaced(t: Column) -> Column:
+        return F.when((F.octet_length(t) > F.length(t)) & t.rlike(UNSPACED), F.regexp_replace(t, UNSPACED, " $0 ")).otherwise(t)
+
+    def plain(t: Column) -> Column:
+        return F.when(t.contains("#") | t.contains("~") | t.contains("@"), F.translate(t, "#~@", "   ")).otherwise(t)
+
+    # each step is bound, so that none is computed again for every use of its result
+    t = let(F.coalesce(text, F.lit("")), lambda t: let(plain(t), lambda t: let(spaced(t), lambda t: let(named(t), numbered))))
     return F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}\s#~@]+", ""))
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(marked(text), r"[\s]+"), lambda t: t != "")
+    return F.filter(F.split(marked(text), r"\s+"), lambda t: t != "")
 
 
 def template(token: Column) -> Column:
@@ -164,7 +176,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     windows = document_windows(own, widths, any_case, "doc_id", "text")
     hits = windows.join(F.broadcast(side) if small else side, ["key", "form"])
     hits = hits.select("doc_id", "same", "item_id", "form", "pos", "width", (F.col("pos") - F.col("i_pos")).alias("shift"), F.arrays_zip(F.col("d_slots").alias("d"), F.col("i_slots").alias("i")).alias("pairs"))
-    hits = hits.dropDuplicates(["doc_id", "same", "item_id", "form", "shift", "pos"])
+    hits = cut(hits.dropDuplicates(["doc_id", "same", "item_id", "form", "shift", "pos"]), "hits")
     runs = runs_of(hits).where(one_to_one(F.col("pairs"))).withColumn("exact", _equal(F.col("pairs")))
     whole = runs_of(hits.where(_equal(F.col("pairs")))).where(F.col("tokens") >= VERBATIM).withColumn("exact", F.lit(True))
     kind = F.when(F.max("exact"), "exact").otherwise("reparameterised")

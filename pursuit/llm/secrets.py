@@ -14,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: Fixed patterns, by kind in the order of the listing: (kind, pattern, group to measure, least length).
 KINDS = (
     ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
@@ -72,11 +74,6 @@ def listing(spans: Column, names: tuple[str, ...] = ("assign", "access", "hex",
 # ---------------------------------------------------------------- the battery
 
 
-def let(value: Column, body) -> Column:
-    """body(v) with v computed once; without it, expressions that use a value twice would double."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
