@@ -176,18 +176,15 @@ def dealt(starts: np.ndarray, word: np.ndarray, value: np.ndarray, n_words: int)
     if n <= BLOCK:
         return np.arange(n)
     row = np.repeat(np.arange(n), np.diff(starts))
-    by_word = np.argsort(word, kind="stable")
-    first = np.searchsorted(word[by_word], np.arange(n_words + 1))
 
-    def gather(m: np.ndarray, at: np.ndarray, w: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        total = np.vstack([np.zeros(m.shape[1], np.float64), np.cumsum(m[at] * w[:, None], 0, dtype=np.float64)])
-        return total[begin[1:]] - total[begin[:-1]]
+    def product(m: np.ndarray, at: np.ndarray, to: np.ndarray, size: int) -> np.ndarray:
+        """The sparse matrix (or its transpose) times m, a column at a time to spare memory."""
+        return np.stack([np.bincount(to, c[at] * value, size) for c in m.T], 1)
 
     x = np.random.default_rng(7).standard_normal((n, DIRECTIONS))
     for _ in range(4):
         x, _ = np.linalg.qr(x - x.mean(0))
-        along = gather(x, row[by_word], value[by_word], first)
-        x = gather(along, word, value, starts)
+        x = product(product(x, row, word, n_words), word, row, n)
     out, todo = [], [np.arange(n)]
     while todo:
         some = todo.pop()
@@ -344,12 +341,20 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
     rows = texts.select("id", "toxic", F.xxhash64("text").alias("same"), F.pandas_udf(count, "words string, counts array<int>")("text").alias("w")).select("id", "toxic", "same", "w.*").toArrow()
     held: dict[tuple[int, int], tuple] = {}
-    for i, y, same, w, c in zip(*(rows.column(x).to_pylist() for x in ("id", "toxic", "same", "words", "counts"))):
-        if (y, same) not in held or i < held[y, same][0]:
-            held[y, same] = (i, w.split(), c)
-    words = sorted({w for _, own, _ in held.values() for w in own})
-    at = {w: k for k, w in enumerate(words)}
-    found = [(i, np.array([at[x] for x in own], np.int64), np.array(c, np.int64), y) for (y, _), (i, own, c) in held.items()]
+    seen: dict[str, int] = {}
+    for batch in rows.to_batches(max_chunksize=100):  # few texts' words at a time are Python objects
+        for r in batch.to_pylist():
+            key = (r["toxic"], r["same"])
+            if key not in held or r["id"] < held[key][0]:
+                held[key] = (r["id"], np.array([seen.setdefault(w, len(seen)) for w in r["words"].split()], np.int64), np.array(r["counts"], np.int64))
+    del rows
+    words = sorted(seen)
+    rank = np.empty(len(words), np.int64)
+    rank[[seen[w] for w in words]] = np.arange(len(words))
+    found = []
+    for (y, _), (i, own, c) in held.items():
+        order = np.argsort(rank[own])
+        found.append((i, rank[own][order], c[order], y))
     sizes = Counter(y for *_, y in found)
     return sorted(found, key=lambda r: (r[0], r[3], r[1].tobytes(), r[2].tobytes())), words, {y: per_class.get(y, 0) / max(1, sizes[y]) for y in (0, 1)}
 
