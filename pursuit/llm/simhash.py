@@ -449,20 +449,24 @@ def band_chains(rows: DataFrame, least: float, max_bits: int | None, lags: int =
 
 
 def band_pairs(rows: DataFrame, least: float, max_bits: int | None) -> DataFrame:
-    """(a, b, root_a, root_b): all pairs that share a band, differ in root and that sizes and sketches don't rule out.
+    """(a, b, root_a, root_b): all pairs that share a band, differ in root and that sizes and sketches don't rule out, each once.
 
     Sets A and B that similar differ by at most (1 - s) / (1 + s) (|A| + |B|) shingles. The bounds are
-    part of the join condition, and buckets of one root are left out before they are read.
+    part of the join condition, and buckets of one root are left out before they are read. So is every
+    key but the smallest that a pair shares: a node's rows carry its keys, 24 at most.
     """
     held = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    rows = rows.join(held, "key")
+    more = [c for c in rows.columns if c not in ("key", "node")]
+    rows = rows.join(held, "key").groupBy("node").agg(F.collect_set("key").alias("keys"), *(F.first(c).alias(c) for c in more))
+    rows = rows.select(F.explode("keys").alias("key"), "keys", "node", *more)
     p, x = (rows.toDF(*(c if c == "key" else f"{side}_{c}" for c in rows.columns)) for side in ("p", "x"))
     unlike = sum((F.bit_count(F.col(f"p_{c}").bitwiseXOR(F.col(f"x_{c}"))) for c in SKETCH[1:]), F.lit(0))
     on = (p["key"] == x["key"]) & (F.col("p_root") != F.col("x_root")) & (F.col("p_node") < F.col("x_node"))
     on = on & (F.least("p_n", "x_n") >= least * F.greatest("p_n", "x_n") - 1e-6) & (unlike <= (1 - least) / (1 + least) * (F.col("p_n") + F.col("x_n")) + 1e-6)
     if max_bits is not None:
         on = on & (F.bit_count(F.col("p_fp").bitwiseXOR(F.col("x_fp"))) <= max_bits)
-    return p.join(x, on).select(F.col("p_node").alias("a"), F.col("x_node").alias("b"), F.col("p_root").alias("root_a"), F.col("x_root").alias("root_b")).distinct()
+    on = on & (F.array_min(F.array_intersect("p_keys", "x_keys")) == p["key"])
+    return p.join(x, on).select(F.col("p_node").alias("a"), F.col("x_node").alias("b"), F.col("p_root").alias("root_a"), F.col("x_root").alias("root_b"))
 
 
 def similar_groups(nodes: DataFrame, verify, least: float, max_bits: int | None) -> DataFrame:
