@@ -64,10 +64,12 @@ def features(table: DataFrame) -> DataFrame:
 
 
 def sci(codes: DataFrame, atoms: DataFrame, reg: str = "l1") -> DataFrame:
-    """(id, sci): (C max_c s_c / s - 1) / (C - 1) with s the l0 or l1 size of the code; codes without entries are left out."""
+    """(id, sci): (C max_c s_c / s - 1) / (C - 1) with s the l0 or l1 size of the code; codes without entries are left out. With one class it is 1."""
     if reg not in ("l0", "l1"):
         raise ValueError("reg must be l0 or l1")
     n = atoms.select(F.countDistinct("cls")).first()[0]
+    if n == 1:
+        return long_codes(codes).select("id", F.lit(1.0).alias("sci")).distinct()
     size = F.abs("z") if reg == "l1" else F.lit(1.0)
     by = long_codes(codes).join(F.broadcast(atoms.select("k", "cls")), "k").groupBy("id", "cls").agg(F.sum(size).alias("s"))
     return by.groupBy("id").agg(((n * F.max("s") / F.sum("s") - 1) / (n - 1)).alias("sci"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .learn import sums
+from .encode import signals_of
+from .learn import BUDGET, sums
 
 
 def class_accuracy(rows: DataFrame) -> DataFrame:
@@ -48,29 +50,45 @@ def folds(signals: DataFrame, k: int) -> DataFrame:
 
 
 class LinearSVM:
-    """One-vs-rest squared-hinge SVM in the primal, by Newton steps on sums that workers add up."""
+    """One-vs-rest squared-hinge SVM in the primal, by Newton steps on sums that workers add up.
 
-    def __init__(self, C: float = 1.0, steps: int = 30):
-        self.C, self.steps = C, steps
+    The steps solve with the classes' Hessians while those take up to ``hessian_bytes``; beyond, by
+    conjugate gradients on Hessian-vector products, one pass each, so that no sum exceeds classes x width.
+    Both end at the same weights. Features whose weights exceed the budget of a broadcast are refused.
+    """
+
+    def __init__(self, C: float = 1.0, steps: int = 30, hessian_bytes: int = 32 << 20):
+        self.C, self.steps, self.hessian_bytes = C, steps, hessian_bytes
 
     def train(self, signals: DataFrame) -> LinearSVM:
         self.labels = [r[0] for r in signals.select("label").distinct().orderBy("label").collect()]
         rows = signals.select("id", F.concat(V.doubles(F.col("x")), F.array(F.lit(1.0), F.col("label").cast("double"))).alias("x")).persist()
         width = rows.select(F.size("x")).first()[0] - 1
         W, labels, C = np.zeros((len(self.labels), width)), np.array(self.labels, float), self.C
+        if W.nbytes > BUDGET:
+            raise ValueError("the weights are too large to broadcast")
+        whole, context = W.nbytes * width <= self.hessian_bytes, signals.sparkSession.sparkContext
+        reg = np.r_[np.ones(width - 1), 1e-8]
 
         def parts(A: np.ndarray, W: np.ndarray) -> dict[str, np.ndarray]:
             X, Y = A[:, :-1], np.where(A[:, -1:] == labels, 1.0, -1.0)
             slack = np.maximum(0, 1 - Y * (X @ W.T))
-            on = (slack > 0).astype(float)
-            return {"loss": (slack**2).sum(0), "grad": -2 * (Y * slack).T @ X, "hess": 2 * np.einsum("nc,ni,nj->cij", on, X, X)}
+            out = {"grad": -2 * (Y * slack).T @ X}
+            return out | {"hess": 2 * np.stack([X[on].T @ X[on] for on in slack.T > 0])} if whole else out
+
+        def product(A: np.ndarray, W: np.ndarray, P: np.ndarray) -> dict[str, np.ndarray]:
+            X, Y = A[:, :-1], np.where(A[:, -1:] == labels, 1.0, -1.0)
+            return {"v": 2 * ((Y * (X @ W.T) < 1) * (X @ P.T)).T @ X}
+
+        def curved(W: np.ndarray, P: np.ndarray) -> np.ndarray:
+            held = context.broadcast((W, P))
+            return P * reg + C * sums(rows, lambda A: product(A, *held.value))["v"]
 
-        reg = np.eye(width)
-        reg[-1, -1] = 1e-8
         for _ in range(self.steps):
-            s = sums(rows, lambda A, W=W: parts(A, W))
-            grad, hess = W @ reg + C * s["grad"], reg + C * s["hess"]
-            step = np.linalg.solve(hess, grad[..., None])[..., 0]
+            held = context.broadcast(W)
+            s = sums(rows, lambda A, held=held: parts(A, held.value))
+            grad = W * reg + C * s["grad"]
+            step = np.linalg.solve(np.diag(reg) + C * s["hess"], grad[..., None])[..., 0] if whole else _conjugate(lambda P, W=W: curved(W, P), grad)
             W = W - step
             if np.abs(step).max() < 1e-8 * (1 + np.abs(W).max()):
                 break
@@ -79,11 +97,34 @@ class LinearSVM:
         return self
 
     def predict(self, signals: DataFrame) -> DataFrame:
-        """(id, pred): the class with the largest score, as expressions; the weights are literals."""
-        x = F.concat(V.doubles(F.col("x")), F.array(F.lit(1.0)))
-        scores = [V.dot(x, F.array(*[F.lit(float(v)) for v in w])) for w in self.W]
-        best = F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, (s, c) in enumerate(zip(scores, self.labels))]))
-        return signals.select("id", best["c"].cast("int").alias("pred"))
+        """(id, pred): the class with the largest score, the first of equal ones; the weights are broadcast."""
+        held, labels = signals.sparkSession.sparkContext.broadcast(self.W), np.array(self.labels)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    best = (signals_of(b) @ held.value[:, :-1].T + held.value[:, -1]).argmax(1)
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(labels[best].astype(np.int32))], names=["id", "pred"])
+
+        return signals.select(F.col("id").cast("long"), V.doubles(F.col("x")).alias("x")).mapInArrow(run, "id long, pred int")
+
+
+def _conjugate(curved: Callable[[np.ndarray], np.ndarray], grad: np.ndarray, steps: int = 200, least: float = 1e-10) -> np.ndarray:
+    """x with curved(x) = grad for each row (a class), all rows in the same passes."""
+    x, r = np.zeros_like(grad), grad.copy()
+    p, rr = r.copy(), (r * r).sum(1)
+    end = least**2 * rr
+    for _ in range(steps):
+        open_ = rr > end
+        if not open_.any():
+            break
+        q = curved(np.where(open_[:, None], p, 0.0))
+        pq = (p * q).sum(1)
+        a = np.where(open_, rr / np.where(open_, pq, 1.0), 0.0)[:, None]
+        x, r = x + a * p, r - a * q
+        new = np.where(open_, (r * r).sum(1), rr)
+        p, rr = np.where(open_[:, None], r + (new / np.where(rr > 0, rr, 1.0))[:, None] * p, p), new
+    return x
 
 
 C_GRID = (1e-10, 1e-4, 1e-3, 1e-2, 5e-2, 1e-1, 1.0, 10.0)

@@ -22,10 +22,22 @@ from .encode import ROWS, SparseEncoder, matrix, signals_of
 #: Data of an exact K-SVD must fit so many bytes on the driver.
 BUDGET = 512 << 20
 PATIENCE = 10
+#: Numbers of a partial sum that travel in one row.
+BLOCK = 4096
 
 
 def sums(rows: DataFrame, parts: Callable[[np.ndarray], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """Adds up arrays that ``parts`` makes of batches of (id, x): one set of sums a partition reaches a tree of adders."""
+    """Adds up arrays that ``parts`` makes of batches of (id, x).
+
+    Each partition sends one set of sums in blocks of BLOCK numbers; the blocks of one place meet in
+    one adder, which holds one sum for each place whatever the number of partitions.
+    """
+    columns = "name string, at long, v binary, shape array<int>"
+
+    def blocks(total: dict[tuple[str, int, tuple[int, ...]], np.ndarray]) -> pa.RecordBatch:
+        keys = list(total)
+        values = pa.array([total[k].tobytes() for k in keys], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), values, pa.array([list(k[2]) for k in keys], pa.list_(pa.int32()))], names=["name", "at", "v", "shape"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -33,13 +45,21 @@ def sums(rows: DataFrame, parts: Callable[[np.ndarray], dict[str, np.ndarray]])
             for at in range(0, batch.num_rows, ROWS):
                 for name, a in parts(signals_of(batch.slice(at, ROWS))).items():
                     total[name] = total[name] + a if name in total else np.asarray(a, float)
-        for name, a in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * a.size), pa.array(np.arange(a.size), pa.int64()), pa.array(a.ravel()), pa.array([list(a.shape)] * a.size, pa.list_(pa.int32()))], names=["name", "at", "v", "shape"])
+        yield blocks({(name, at, a.shape): a.ravel()[at : at + BLOCK] for name, a in total.items() for at in range(0, a.size, BLOCK)})
 
-    done = rows.select("id", V.doubles(F.col("x")).alias("x")).mapInArrow(run, "name string, at long, v double, shape array<int>")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, int, tuple[int, ...]], np.ndarray] = {}
+        for batch in batches:
+            for name, at, v, shape in zip(*(c.to_pylist() for c in batch.columns)):
+                key, a = (name, at, tuple(shape)), np.frombuffer(v)
+                total[key] = total[key] + a if key in total else a
+        yield blocks(total)
+
+    done = rows.select("id", V.doubles(F.col("x")).alias("x")).mapInArrow(run, columns).repartition("name", "at").mapInArrow(add, columns)
     out: dict[str, np.ndarray] = {}
-    for r in done.groupBy("name", "at").agg(F.sum("v").alias("v"), F.first("shape").alias("shape")).collect():
-        out.setdefault(r["name"], np.zeros(r["shape"])).flat[r["at"]] = r["v"]
+    for r in done.collect():
+        v = np.frombuffer(r["v"])
+        out.setdefault(r["name"], np.zeros(r["shape"])).reshape(-1)[r["at"] : r["at"] + len(v)] = v
     return out
 
 
@@ -158,10 +178,10 @@ class OnlineLearner(Learner):
 
     def fit(self, signals: DataFrame) -> OnlineLearner:
         self.D = start(signals, self.n_atoms, self.init, self.seed) if self.D is None else self.D
-        rows, n = batches(signals, self.batch_size)
+        batch, n = each_batch(signals, self.batch_size)
         for _ in range(self.n_epochs):
             for i, beta in enumerate(np.linspace(0, 1, n) if self.beta is None else [self.beta] * n):
-                self.step(rows.where(F.col("batch") == i), float(beta))
+                self.step(batch(i), float(beta))
         return self
 
 
@@ -174,10 +194,10 @@ class GradientLearner(Learner):
 
     def fit(self, signals: DataFrame) -> GradientLearner:
         self.D = start(signals, self.n_atoms, self.init, self.seed)
-        rows, n = batches(signals, self.batch_size)
+        batch, n = each_batch(signals, self.batch_size)
         for _ in range(self.n_epochs):
             for i in range(n):
-                s = statistics(rows.where(F.col("batch") == i), self.D, self.coder)
+                s = statistics(batch(i), self.D, self.coder)
                 self.errors.append(float(s["error"][0]))
                 self.D = K.gradient_step(self.D, s["A"], s["B"], self.eta, self.mu, self.non_neg)
             if self._stalled():
@@ -185,21 +205,35 @@ class GradientLearner(Learner):
         return self
 
 
-def batches(signals: DataFrame, batch_size: int | None) -> tuple[DataFrame, int]:
-    """Signals with a batch number, and the number of batches.
+def batch_bounds(signals: DataFrame, batch_size: int | None) -> list[int]:
+    """The first id of each batch and one above the last id; empty without rows.
 
     Batches are ranges of ids, found from quantiles of the ids without ranking all rows in one task;
     with ids 0..n-1 each has exactly batch_size of them.
     """
-    low, high, n = signals.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    if not n or batch_size is None or n <= batch_size:
-        return signals.withColumn("batch", F.lit(0)), 1 if n else 0
-    count = -(-n // batch_size)
+    low, high, n = signals.agg(F.min("id"), F.max("id"), F.count("id")).first()
+    if not n:
+        return []
+    count = -(-n // batch_size) if batch_size else 1
     if high - low + 1 == n:
-        return signals.withColumn("batch", F.floor((F.col("id") - low) / batch_size).cast("int")), count
-    edges = signals.approxQuantile("id", [k / count for k in range(1, count)], 0.0)
-    number = sum((F.when(F.col("id") >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    return signals.withColumn("batch", number), count
+        edges = [low + k * batch_size for k in range(1, count)]
+    else:
+        edges = [int(e) for e in signals.approxQuantile("id", [k / count for k in range(1, count)], 0.0)] if count > 1 else []
+    return [low, *edges, high + 1]
+
+
+def each_batch(signals: DataFrame, batch_size: int | None) -> tuple[Callable[[int], DataFrame], int]:
+    """A function that gives the i-th batch, and the number of batches; a batch's bounds reach the scan."""
+    bounds = batch_bounds(signals, batch_size)
+    return lambda i: signals.where((F.col("id") >= bounds[i]) & (F.col("id") < bounds[i + 1])), max(0, len(bounds) - 1)
+
+
+def batches(signals: DataFrame, batch_size: int | None) -> tuple[DataFrame, int]:
+    """Signals with a batch number, and the number of batches."""
+    bounds = batch_bounds(signals, batch_size)
+    edges = F.array(*[F.lit(e) for e in bounds[1:-1]]).cast("array<bigint>")
+    return signals.withColumn("batch", F.size(F.filter(edges, lambda e: e <= F.col("id")))), max(0, len(bounds) - 1)
+
 
 
 class ClassKSVD:

@@ -15,13 +15,20 @@ from .learn import sums
 
 
 def moments(signals: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean and population standard deviation of each feature, in one pass of partial sums."""
-    s = sums(signals, lambda X: {"n": np.array([len(X)]), "s": X.sum(0), "q": (X * X).sum(0)})
+    """Count, mean and population standard deviation of each feature, in one pass of partial sums about one signal."""
+    at = origin(signals)
+    s = sums(signals, lambda X: {"n": np.array([len(X)]), "s": (X - at).sum(0), "q": ((X - at) ** 2).sum(0)}) if at is not None else {}
     if not s:
         return 0, np.zeros(0), np.zeros(0)
     n = s["n"][0]
     mean = s["s"] / n
-    return int(n), mean, np.sqrt(np.maximum(s["q"] / n - mean * mean, 0))
+    return int(n), at + mean, np.sqrt(np.maximum(s["q"] / n - mean * mean, 0))
+
+
+def origin(signals: DataFrame) -> np.ndarray | None:
+    """Some signal: sums of squares about it keep their digits when features lie far from zero."""
+    row = signals.select(V.doubles(F.col("x")).alias("x")).first()
+    return None if row is None else np.array(row["x"], float)
 
 
 def preprocess(signals: DataFrame, name: str, bias: float = 0.1) -> DataFrame:
@@ -42,12 +49,13 @@ def preprocess(signals: DataFrame, name: str, bias: float = 0.1) -> DataFrame:
 
 def whiten(signals: DataFrame, bias: float = 0.1) -> DataFrame:
     """ZCA: centred, times E diag(l^-1/2) E^T of the covariance with bias on its diagonal."""
-    s = sums(signals, lambda X: {"n": np.array([len(X)]), "s": X.sum(0), "q": X.T @ X})
+    at = origin(signals)
+    s = sums(signals, lambda X: {"n": np.array([len(X)]), "s": (X - at).sum(0), "q": (X - at).T @ (X - at)}) if at is not None else {}
     if not s:
         return signals
     mean = s["s"] / s["n"][0]
     value, vector = np.linalg.eigh(s["q"] / s["n"][0] - np.outer(mean, mean) + bias * np.eye(len(mean)))
-    held = signals.sparkSession.sparkContext.broadcast((mean, (vector / np.sqrt(value)) @ vector.T))
+    held = signals.sparkSession.sparkContext.broadcast((at + mean, (vector / np.sqrt(value)) @ vector.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, W = held.value

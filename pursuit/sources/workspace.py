@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,19 +47,24 @@ class Workspace:
         fs, p = self._fs("")
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
 
+    def _versions(self) -> list[int]:
+        return sorted(int(v) for t in self.tables() if (v := t.removeprefix("_metadata.v")) != t and v.isdigit())
+
     def set_metadata(self, **values) -> None:
+        """Writes a new version; the one before it stays for those that read it, older ones go."""
         rows = self.metadata() | values
         data = [(k, json.dumps(v)) for k, v in sorted(rows.items())]
-        self.spark.createDataFrame(data, "name string, value string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_metadata.new")
-        fs, new = self._fs("_metadata.new")
-        _, old = self._fs("_metadata.table")
-        fs.delete(old, True)
-        fs.rename(new, old)
+        versions = self._versions()
+        self.spark.createDataFrame(data, "name string, value string").coalesce(1).write.mode("error").parquet(f"{self.path}/_metadata.v{max(versions, default=0) + 1}")
+        for v in versions[:-1]:
+            self.remove(f"_metadata.v{v}")
 
     def metadata(self) -> dict:
-        if not self.contains("_metadata.table"):
+        """The last version that was written whole."""
+        whole = [v for v in self._versions() if self.contains(f"_metadata.v{v}/_SUCCESS")]
+        if not whole:
             return {}
-        return {r[0]: json.loads(r[1]) for r in self.spark.read.schema("name string, value string").option("ignoreMissingFiles", "true").parquet(f"{self.path}/_metadata.table").collect()}
+        return {r[0]: json.loads(r[1]) for r in self.spark.read.schema("name string, value string").parquet(f"{self.path}/_metadata.v{whole[-1]}").collect()}
 
     def disk_usage(self) -> int:
         """Bytes under the root."""
@@ -73,10 +79,16 @@ class Workspace:
 
 
 def request_workspace(spark: SparkSession, root: str) -> Workspace:
-    """A new workspace under a root, numbered one above the largest."""
+    """A new workspace under a root, numbered above the largest; a file that only one caller can create claims it."""
     top = Workspace(spark, root)
     numbers = [int(n) for n in top.tables() if n.isdigit()]
-    name = str(max(numbers, default=0) + 1)
-    fs, p = top._fs(name)
-    fs.mkdirs(p)
-    return Workspace(spark, f"{root.rstrip('/')}/{name}")
+    number = max(numbers, default=0) + 1
+    while True:
+        fs, p = top._fs(f"{number}/_claimed")
+        try:
+            fs.create(p, False).close()
+            return Workspace(spark, f"{root.rstrip('/')}/{number}")
+        except Py4JJavaError:
+            if not fs.exists(p):
+                raise
+            number += 1

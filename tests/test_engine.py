@@ -113,6 +113,45 @@ def test_classes(spark):
     assert score > 0.95 and params["C"] in (1e-3, 1.0)
 
 
+def test_svm_beyond_hessians(spark):
+    centres = RNG.standard_normal((3, 8))
+    y = np.arange(90) % 3
+    rows = frame(spark, centres[y] + 0.5 * RNG.standard_normal((90, 8)), y)
+    whole, product = evaluate.LinearSVM(0.1).train(rows), evaluate.LinearSVM(0.1, hessian_bytes=0).train(rows)
+    assert np.allclose(whole.W, product.W, atol=1e-6)
+    assert whole.predict(rows).orderBy("id").collect() == product.predict(rows).orderBy("id").collect()
+
+
+def test_sums_in_blocks(spark):
+    X = RNG.standard_normal((50, 70))
+    got = learn.sums(frame(spark, X, parts=5), lambda A: {"q": A.T @ A, "n": np.array([len(A)])})
+    assert np.allclose(got["q"], X.T @ X) and got["n"] == 50 and got["q"].size > learn.BLOCK
+    assert learn.sums(frame(spark, X).where("id < 0"), lambda A: {"q": A.T @ A}) == {}
+
+
+def test_moments_far_from_zero(spark):
+    X = RNG.standard_normal((300, 3)) + 1e9
+    n, mean, std = preprocess.moments(frame(spark, X, parts=3))
+    assert n == 300 and np.allclose(mean, X.mean(0), rtol=1e-12) and np.allclose(std, X.std(0), rtol=1e-6)
+    assert preprocess.moments(frame(spark, X).where("id < 0"))[0] == 0
+
+
+def test_batches_with_gaps(spark):
+    rows = spark.range(0, 200, 7)  # 29 ids
+    batch, n = learn.each_batch(rows, 10)
+    numbered = learn.batches(rows, 10)[0]
+    found = [sorted(r.id for r in batch(i).collect()) for i in range(n)]
+    assert n == 3 and sorted(sum(found, [])) == list(range(0, 200, 7)) and all(len(f) <= 11 for f in found)
+    assert all({r.id for r in numbered.where(numbered.batch == i).collect()} == set(f) for i, f in enumerate(found))
+    assert learn.each_batch(rows, None)[1] == 1 and learn.each_batch(rows.where("id < 0"), 10)[1] == 0
+
+
+def test_sci_of_one_class(spark):
+    atoms = spark.createDataFrame([(0, 0, [1.0, 0.0]), (1, 0, [0.0, 1.0])], "k int, cls int, d array<double>")
+    codes = spark.createDataFrame([(5, [0, 1], [0.5, 2.0])], "id long, idx array<int>, val array<double>")
+    assert [tuple(r) for r in classify.sci(codes, atoms).collect()] == [(5, 1.0)]
+
+
 def test_whitening(spark):
     X = RNG.standard_normal((200, 5)) @ RNG.standard_normal((5, 5))
     out = np.array([r.x for r in preprocess.preprocess(frame(spark, X), "whitening", bias=1e-9).orderBy("id").collect()])
