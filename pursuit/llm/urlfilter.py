@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 _TOKEN = re.compile(r"[a-z0-9%]+")
+#: Rules of a table are read up to so many: the index is broadcast.
+MOST_RULES = 200_000
 #: Host rules that hold in the query (fixed values): verdict and rule.
 HOST_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Pattern rules of the method: * any text, ^ a separator or the end, || the start of a host label, | an end of the url, @@ allows.
@@ -145,5 +147,21 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFram
     return pages.withColumn("judged", F.pandas_udf(run, "host string, path string, rule string, verdict string")(F.col(url_col)))
 
 
+def rules_of(rules: DataFrame, verdict_col: str = "verdict", rule_col: str = "rule", most: int = MOST_RULES) -> list[Rule]:
+    """The rules of a table, in order of their texts: host rules (host/path) where verdict is allow or block, pattern rules where it is null.
+
+    Null and blank rules are skipped, repeated ones count once; other verdicts raise ValueError, as do
+    more than ``most`` rules, since every executor holds the index. Extra columns are not read; an
+    empty table gives no rules, so that every url is allowed.
+    """
+    rows = rules.select(F.col(verdict_col).alias("verdict"), F.trim(rule_col).alias("rule")).where("rule <> ''").distinct()
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rules")
+    if bad := {r.verdict for r in found} - {None, "allow", "block"}:
+        raise ValueError(f"verdicts are allow, block or null, not {sorted(bad)}")
+    return [pattern_rule(r.rule) if r.verdict is None else host_rule(r.verdict, r.rule) for r in sorted(found, key=lambda r: (r.rule, r.verdict or ""))]
+
+
 def default_rules() -> list[Rule]:
     return [*(host_rule(v, r) for v, r in HOST_RULES), *(pattern_rule(p) for p in PATTERNS)]

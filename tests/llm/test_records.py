@@ -251,6 +251,20 @@ def test_url_rules(spark):
     assert urlfilter.judge(pages.limit(0), rules).count() == 0
 
 
+def test_url_rules_of_a_table(spark):
+    rows = [("block", "net/", 1), (None, "||ads^", 2), (None, "@@||ads.example^", 3), ("allow", "a.net/b", 4), (None, "  ", 5), (None, None, 6), (None, "||ads^", 7)]
+    listed = spark.createDataFrame(rows, "verdict string, rule string, host long")
+    rules = urlfilter.rules_of(listed)
+    assert [r.text for r in rules] == ["@@||ads.example^", "a.net/b", "net/", "||ads^"]
+    pages = spark.createDataFrame([("http://a.net/c",), ("http://a.net/b/c",), ("http://x.ads/",), ("http://ads.example/",), (None,)], "url string")
+    assert [(r.judged.rule, r.judged.verdict) for r in urlfilter.judge(pages, rules).collect()] == [("net/", "block"), ("a.net/b", "allow"), (None, "block"), (None, "allow"), (None, "allow")]
+    empty = urlfilter.judge(pages, urlfilter.rules_of(listed.limit(0))).collect()
+    assert {r.judged.verdict for r in empty} == {"allow"} and len(empty) == 5
+    for bad, most in ((listed.limit(2), 1), (spark.createDataFrame([("deny", "net/")], "verdict string, rule string"), 9)):
+        with pytest.raises(ValueError):
+            urlfilter.rules_of(bad, most=most)
+
+
 def test_rule_index_misses_nothing():
     import re
 
