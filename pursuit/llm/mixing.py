@@ -22,6 +22,8 @@ STEPS = 60
 TOLERANCE = 1e-7
 #: Documents of one source and size are dealt copies in parts of about so many.
 PART = 4096
+#: The table of sources and sizes is broadcast up to so many rows (counted first), else joined by key.
+BROADCAST_ROWS = 200_000
 _EXACT = "decimal(38,9)"
 
 
@@ -129,10 +131,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     facts = facts.select(*key("f"), "source_size", "target", "n", "copies")
     rows = rows.select("doc_id", *key("d"))
     order: Column = F.xxhash64("doc_id")
-    out = rows.join(facts, (F.col("d_none") == F.col("f_none")) & (F.col("d_source") == F.col("f_source")) & (F.col("d_size") == F.col("f_size")))
+    small = dealt.count() <= BROADCAST_ROWS
+    out = rows.join(F.broadcast(facts) if small else facts, (F.col("d_none") == F.col("f_none")) & (F.col("d_source") == F.col("f_source")) & (F.col("d_size") == F.col("f_size")))
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("n") / PART))
     out = out.withColumn("part", part).drop("f_none", "f_source", "f_size")
     own = ["d_none", "d_source", "d_size", "part"]
+    if not small:  # else the parts of one size would stay in the join's one task
+        out = out.repartition(*own)
     extra = out.groupBy(*own).agg(F.count("*").alias("m"), (F.first("copies") % F.first("n")).alias("rest"), F.first("n").alias("all"))
     upto = F.sum("m").over(Window.partitionBy("d_none", "d_source", "d_size").orderBy("part"))
     floor = lambda c: F.floor(c * F.col("rest") / F.col("all"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pursuit.llm import decontaminate, langid, mixing, queries, secrets, toxicity
-from pursuit.llm.common import table
+from pursuit.llm.common import crc_of_id, table
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string"
@@ -407,6 +407,12 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_without_broadcast(spark, monkeypatch):
+    want = sorted((r.doc_id, r.taken) for r in queries.op8_mixing(spark, SF).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted((r.doc_id, r.taken) for r in queries.op8_mixing(spark, SF).collect()) == want
+
+
 def test_mixing_rates_meet_the_constraints():
     import pandas as pd
 
@@ -416,8 +422,10 @@ def test_mixing_rates_meet_the_constraints():
     assert abs((out.copies * out["size"]).sum() - want) < 2 and (out.copies <= 6).all()
 
 
-def test_crc_rule():
-    assert zlib.crc32(b"12") % 4 in range(4)
+def test_crc_rule(spark):
+    ids = spark.createDataFrame([(i,) for i in (0, 12, -7, 10**12, None)], "doc_id long")
+    got = {r.doc_id: r.crc for r in ids.select("doc_id", crc_of_id(F.col("doc_id")).alias("crc")).collect()}
+    assert got == {i: 0 if i is None else zlib.crc32(str(i).encode()) for i in got} and len(got) == 5
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
