@@ -22,9 +22,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that with the smallest id, stays.
 
-    Texts that share a MinHash band of their five-word shingles are candidates, at any distance of
-    their fingerprints; those whose shingle sets have a Jaccard similarity of 0.8 are linked. Ids
-    may repeat: rows go by id and text. Null ids come last in their group; of rows
+    Candidates are the texts whose SimHash fingerprints of five-word shingles differ by at most
+    ``simhash.SEARCHED`` bits, found by partitions and probes as in op3, and then those further apart
+    that share a MinHash band, which that search can't reach. Candidates whose shingle sets have a Jaccard
+    similarity of 0.8 are linked. Ids may repeat: rows go by id and text. Null ids come last in their group; of rows
     with equal id and text one stays. Null and blank texts are one group.
     """
     found = cut(simhash.simhash_groups(docs, words=5, max_bits=None, min_similarity=0.8).select("doc_id", "same", "first"), "groups")

@@ -5,6 +5,9 @@
 partition in which they differ by t_i bits or fewer, so a fingerprint that probes, in each
 partition, all values within t_i of its own meets every partner. The t_i are unequal and differ
 by fingerprint: dynamic programming takes those with the least probes and estimated candidates.
+
+Where links also need a similarity of the shingle sets, the same search makes the candidates. Pairs
+of that similarity that lie further apart than it reaches are found by MinHash bands after it.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
@@ -33,8 +36,8 @@ PROBE_COST = 30.0
 SKETCH = ("n", "b0", "b1", "b2", "b3")
 #: MinHash bands and values in each: sets at a Jaccard similarity of 0.8 share a band with a probability of 1 - (1 - 0.8^5)^24 = 0.9999.
 BANDS, VALUES = 24, 5
-#: Bands in which neighbours are linked before all bands are searched.
-CHAINED = 6
+#: Bits that the search by fingerprints reaches where links need a similarity and may lie at any distance.
+SEARCHED = 9
 #: Odd multipliers, by which the shingle hashes take another order for each MinHash value.
 ORDERS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -368,10 +371,11 @@ def chain_edges(index: DataFrame, max_bits: int, lags: int = 6) -> DataFrame:
     return ranged.select("key", "fp").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def cross_links(nodes: DataFrame, allocator: Allocator) -> DataFrame:
+def cross_links(nodes: DataFrame, allocator: Allocator, name: str = "fp", also: Column | None = None) -> DataFrame:
     """(a, b, root_a, root_b): all pairs within max_bits whose roots differ, each once.
 
-    The distance is part of the join condition, so candidates never become rows; nor does a pair in
+    ``name`` is the column that names a node; nodes may share a fingerprint. ``also`` is a further condition
+    on the two rows (p_ and x_ before their columns). The distance is part of the join condition, so candidates never become rows; nor does a pair in
     any but the first partition where its probe reaches it. A bucket whose members all have the
     probe's root is left out before it is read.
     """
@@ -381,13 +385,14 @@ def cross_links(nodes: DataFrame, allocator: Allocator) -> DataFrame:
     probes = probes.join(held, "key").where("root <> low or root <> high").drop("low", "high")
     p, x = (df.toDF(*(c if c == "key" else f"{side}_{c}" for c in df.columns)) for side, df in (("p", probes), ("x", index)))
     differ = p["p_fp"].bitwiseXOR(x["x_fp"])
-    on = (p["key"] == x["key"]) & (p["p_root"] != x["x_root"]) & (p["p_fp"] < x["x_fp"]) & (F.bit_count(differ) <= allocator.max_bits)
+    on = (p["key"] == x["key"]) & (p["p_root"] != x["x_root"]) & (p[f"p_{name}"] < x[f"x_{name}"]) & (F.bit_count(differ) <= allocator.max_bits)
+    on = on if also is None else on & also
     for j, bits in enumerate(allocator.layout.parts[:-1]):
         mask = sum(1 << b for b in bits)
         mask = mask - (1 << 64) if mask >> 63 else mask
         reached = F.bit_count(differ.bitwiseAND(F.lit(mask).cast("long"))) < F.shiftright(p["p_ts"], 3 * j).bitwiseAND(F.lit(7).cast("long"))
         on = on & ((F.shiftright(p["key"], 40) <= j) | ~reached)
-    return p.join(x, on).select(F.col("p_fp").alias("a"), F.col("x_fp").alias("b"), F.col("p_root").alias("root_a"), F.col("x_root").alias("root_b"))
+    return p.join(x, on).select(F.col(f"p_{name}").alias("a"), F.col(f"x_{name}").alias("b"), F.col("p_root").alias("root_a"), F.col("x_root").alias("root_b"))
 
 
 def with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -411,20 +416,30 @@ def link_groups(fps: DataFrame, max_bits: int) -> DataFrame:
 # ---------------------------------------------------------------- links by similarity
 
 
-def band_chains(rows: DataFrame, least: float, max_bits: int | None, lags: int = 2) -> DataFrame:
+def sketches_allow(least: float) -> Column:
+    """Whether sizes and sketches leave a similarity of ``least`` possible, for rows p_ and x_.
+
+    Sets A and B that similar differ by at most (1 - s) / (1 + s) (|A| + |B|) shingles.
+    """
+    unlike = sum((F.bit_count(F.col(f"p_{c}").bitwiseXOR(F.col(f"x_{c}"))) for c in SKETCH[1:]), F.lit(0))
+    return (F.least("p_n", "x_n") >= least * F.greatest("p_n", "x_n") - 1e-6) & (unlike <= (1 - least) / (1 + least) * (F.col("p_n") + F.col("x_n")) + 1e-6)
+
+
+def similar_chains(index: DataFrame, least: float, max_bits: int, lags: int = 6) -> DataFrame:
     """(a, b): candidates among neighbours in a sorted bucket, at most ``lags + 1`` a row whatever its size.
 
-    rows: key, node, fp and SKETCH, all long. What a range boundary cuts is found by band_pairs.
+    index: key, node, fp and SKETCH, all long. They join up dense groups, as chain_edges does; what a
+    range boundary cuts is found by cross_links.
     """
     columns = ["key", "node", "fp", *SKETCH]
-    ranged = rows.select(columns).repartitionByRange("key", "n", "node").sortWithinPartitions("key", "n", "node")
+    ranged = index.select(columns).repartitionByRange("key", "fp", "n", "node").sortWithinPartitions("key", "fp", "n", "node")
     apart = (1 - least) / (1 + least)
 
     def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         n, m = x[:, 3], y[:, 3]
         unlike = np.bitwise_count((x[:, 4:] ^ y[:, 4:]).view(np.uint64)).sum(1)
         on = (x[:, 0] == y[:, 0]) & (x[:, 1] != y[:, 1]) & (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-6) & (unlike <= apart * (n + m) + 1e-6)
-        return on if max_bits is None else on & (np.bitwise_count((x[:, 2] ^ y[:, 2]).view(np.uint64)) <= max_bits)
+        return on & (np.bitwise_count((x[:, 2] ^ y[:, 2]).view(np.uint64)) <= max_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old, lead = np.zeros((0, len(columns)), np.int64), None
@@ -448,37 +463,44 @@ def band_chains(rows: DataFrame, least: float, max_bits: int | None, lags: int =
     return ranged.mapInArrow(run, "a long, b long").distinct()
 
 
-def band_pairs(rows: DataFrame, least: float, max_bits: int | None) -> DataFrame:
-    """(a, b, root_a, root_b): all pairs that share a band, differ in root and that sizes and sketches don't rule out, each once.
+def band_pairs(rows: DataFrame, least: float, beyond: int) -> DataFrame:
+    """(a, b, root_a, root_b): all pairs more than ``beyond`` bits apart that share a band, differ in root and that sizes and sketches don't rule out, each once.
 
-    Sets A and B that similar differ by at most (1 - s) / (1 + s) (|A| + |B|) shingles. The bounds are
-    part of the join condition, and buckets of one root are left out before they are read. So is every
-    key but the smallest that a pair shares: a node's rows carry its keys, 24 at most.
+    The bounds are part of the join condition, and buckets of one root are left out before they are
+    read. So is every key but the smallest that a pair shares: a node's rows carry its keys, 24 at most.
     """
     held = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     more = [c for c in rows.columns if c not in ("key", "node")]
     rows = rows.join(held, "key").groupBy("node").agg(F.collect_set("key").alias("keys"), *(F.first(c).alias(c) for c in more))
     rows = rows.select(F.explode("keys").alias("key"), "keys", "node", *more)
     p, x = (rows.toDF(*(c if c == "key" else f"{side}_{c}" for c in rows.columns)) for side in ("p", "x"))
-    unlike = sum((F.bit_count(F.col(f"p_{c}").bitwiseXOR(F.col(f"x_{c}"))) for c in SKETCH[1:]), F.lit(0))
-    on = (p["key"] == x["key"]) & (F.col("p_root") != F.col("x_root")) & (F.col("p_node") < F.col("x_node"))
-    on = on & (F.least("p_n", "x_n") >= least * F.greatest("p_n", "x_n") - 1e-6) & (unlike <= (1 - least) / (1 + least) * (F.col("p_n") + F.col("x_n")) + 1e-6)
-    if max_bits is not None:
-        on = on & (F.bit_count(F.col("p_fp").bitwiseXOR(F.col("x_fp"))) <= max_bits)
+    on = (p["key"] == x["key"]) & (F.col("p_root") != F.col("x_root")) & (F.col("p_node") < F.col("x_node")) & sketches_allow(least)
+    on = on & (F.bit_count(F.col("p_fp").bitwiseXOR(F.col("x_fp"))) > beyond)
     on = on & (F.array_min(F.array_intersect("p_keys", "x_keys")) == p["key"])
     return p.join(x, on).select(F.col("p_node").alias("a"), F.col("x_node").alias("b"), F.col("p_root").alias("root_a"), F.col("x_root").alias("root_b"))
 
 
 def similar_groups(nodes: DataFrame, verify, least: float, max_bits: int | None) -> DataFrame:
-    """(node, root) of ``nodes`` (node, fp, SKETCH, bands); verify(pairs a, b) keeps the pairs that are similar enough."""
+    """(node, root) of ``nodes`` (node, fp, SKETCH, bands); verify(pairs a, b) keeps the pairs that are similar enough.
+
+    All pairs within ``max_bits`` (SEARCHED, if None) are found by their fingerprints. If None, MinHash bands
+    then find the pairs further apart.
+    """
+    if nodes.isEmpty():
+        return nodes.select("node", F.col("node").alias("root"))
+    allocator = plan(cut(nodes.select("fp").distinct(), "fps"), SEARCHED if max_bits is None else max_bits)
 
-    def rows(at: DataFrame, roots: list[str], k: int = BANDS) -> DataFrame:
-        return at.select(F.explode(F.slice("bands", 1, k)).alias("key"), "node", "fp", *SKETCH, *roots)
+    def linked(at: DataFrame, links: DataFrame) -> DataFrame:
+        edges = links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        return cut(with_roots(at, connected_components(edges)), "nodes")
 
-    near = verify(band_chains(rows(nodes, [], CHAINED), least, max_bits))
-    nodes = cut(with_roots(nodes.withColumn("root", F.col("node")), connected_components(near)), "nodes")
-    links = verify(band_pairs(rows(nodes, ["root"]), least, max_bits))
-    return with_roots(nodes.select("node", "root"), connected_components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))))
+    near = verify(similar_chains(index_rows(nodes.select("fp", "node", *SKETCH), allocator.layout), least, allocator.max_bits))
+    nodes = linked(nodes.withColumn("root", F.col("node")), near.select("*", F.col("a").alias("root_a"), F.col("b").alias("root_b")))
+    nodes = linked(nodes, verify(cross_links(nodes.select("fp", "node", *SKETCH, "root"), allocator, "node", sketches_allow(least))))
+    if max_bits is None:
+        rows = nodes.select(F.explode("bands").alias("key"), "node", "fp", *SKETCH, "root")
+        nodes = linked(nodes, verify(band_pairs(rows, least, allocator.max_bits)))
+    return nodes.select("node", "root")
 
 
 def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int | None = 4, id_col: str = "doc_id", text_col: str = "text", min_similarity: float | None = None) -> DataFrame:
@@ -487,7 +509,8 @@ def simhash_groups(docs: DataFrame, words: int = 4, max_bits: int | None = 4, id
     Rows whose fingerprints can be joined by steps of at most ``max_bits`` differing bits have the
     same component_id: its smallest doc_id. With ``min_similarity``, a step also needs that Jaccard
     similarity of the two shingle sets, whatever the fingerprints: only equal sets are one without
-    a test. Candidates are then found by MinHash bands, and ``max_bits`` may be None (any distance).
+    a test. ``max_bits`` may then be None (any distance): pairs within SEARCHED bits are found by their
+    fingerprints, and the similar pairs further apart by MinHash bands.
     Rows then also have ``same`` (xxhash64 of the text) and ``first``: whether their id and text are
     the component's smallest (null ids last), which is so of one id and text in each component.
 

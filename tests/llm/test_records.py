@@ -150,6 +150,41 @@ def test_similar_groups_at_any_distance(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(root))
 
 
+def test_near_duplicates_search_by_fingerprints_first(spark, monkeypatch):
+    rng, texts = np.random.default_rng(12), []
+    for k in range(60):  # pairs at 0.8 or a little above, some near in fingerprint and some not
+        base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        other = list(base)
+        for at in rng.choice(np.arange(5, 195, 6), 1 + k % 4, replace=False):
+            other[at] = f"x{rng.integers(0, 5000)}"
+        texts += [" ".join(base), " ".join(other)]
+    line = "one common line that comes again and again on the page "
+    texts += [line * 60 + " ".join(f"{c}{k}" for k in range(50)) for c in "abcd"]  # one fingerprint, unlike sets
+    hashes = [simhash.shingle_hashes(t.encode(), 5) for t in texts]
+    node, fp = {simhash.node_of(h): k for k, h in enumerate(hashes)}, [simhash.majority(h) & (1 << 64) - 1 for h in hashes]
+    pairs, root = brute_similar(texts)
+    near = {(a, b) for a, b in pairs if (fp[a] ^ fp[b]).bit_count() <= simhash.SEARCHED}
+    assert len(near) > 20 and len(pairs) - len(near) > 5
+    found = {"similar_chains": set(), "cross_links": set(), "band_pairs": set()}
+    for name in found:
+
+        def spy(*given, name=name, plain=getattr(simhash, name)):
+            out = plain(*given)
+            found[name] |= {tuple(sorted((node[r.a], node[r.b]))) for r in out.select("a", "b").collect()}
+            return out
+
+        monkeypatch.setattr(simhash, name, spy)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(root))
+    assert near <= found["similar_chains"] | found["cross_links"]
+    assert all((fp[a] ^ fp[b]).bit_count() > simhash.SEARCHED for a, b in found["band_pairs"])
+    monkeypatch.undo()
+    alone = spark.createDataFrame([(fp[k] - (1 << 64) if fp[k] >> 63 else fp[k], k, k, *simhash.sketch(hashes[k]).tolist()) for k in range(len(texts))], "fp long, node long, root long, n long, b0 long, b1 long, b2 long, b3 long")
+    links = {(r.a, r.b) for r in simhash.cross_links(alone, simhash.plan(alone.select("fp").distinct(), simhash.SEARCHED), "node", simhash.sketches_allow(0.8)).collect()}
+    assert near <= links  # without neighbours linked before
+
+
 def test_equal_fingerprints_are_verified(spark):
     line = "one common line that comes again and again on the page "
     texts = [line * 60 + " ".join(f"{c}{k}" for k in range(50)) for c in "abcd"]
