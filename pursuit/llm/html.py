@@ -46,19 +46,20 @@ _SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)\Z")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 #: Cells are padded to the widest of their column, up to this width.
 PAD = 60
-#: Tables of more columns are not padded: each row has its own cells only.
+#: Tables are aligned while that makes at most so many fields for each cell and line of theirs; others are listed, each cell after its place.
 ALIGNED = 64
-#: Elements deeper than this are put beside their parent, as browsers do; they are hidden if it is.
-DEEPEST = 200
+#: Tables in so many others that have columns are listed as well.
+NESTED = 8
+#: Indents up to this are written as blanks, deeper ones as their number.
+INDENT = 400
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "over", "unseen")
+    __slots__ = ("tag", "attrs", "children")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.children = tag, attrs, []
-        self.over, self.unseen = None, None  # the parent of what stands beside it; whether it is hidden, once known
 
     def get(self, name: str) -> str | None:
         return attributes(self.attrs).get(name) if self.attrs else None
@@ -131,16 +132,8 @@ class Open:
             self.at[self.nodes.pop().tag].pop()
 
     def put(self, child: Node | str) -> None:
-        """Adds to the innermost element. What is too deep goes beside it instead, and remembers it as its parent (``over``)."""
-        parent = self.nodes[-1]
-        if len(self.nodes) <= DEEPEST:
-            parent.children.append(child)
-            return
-        if isinstance(child, str):
-            text, child = child, Node("span")
-            child.children.append(text)
-        child.over = parent
-        self.nodes[DEEPEST - 1].children.append(child)
+        """Adds to the innermost element."""
+        self.nodes[-1].children.append(child)
 
 
 def open_tag(stack: Open, tag: str) -> None:
@@ -211,7 +204,7 @@ def style_rules(sheet: str) -> Iterator[tuple[str, str]]:
 
 
 class Hidden:
-    """Elements that inline style, attributes or simple style rules hide, and what lies too deep inside of one."""
+    """Elements that inline style, attributes or simple style rules hide."""
 
     def __init__(self, styles: list[str]):
         #: simple selectors that hide, under one thing that an element must have: "#id", ".class" or a tag
@@ -227,18 +220,6 @@ class Hidden:
                             self.rules.setdefault((ids or classes or [tag])[0], set()).add((tag, frozenset(p[1:] for p in classes), ids[0][1:] if ids else ""))
 
     def __call__(self, node: Node) -> bool:
-        chain: list[Node] = []
-        at: Node | None = node
-        while at is not None and at.unseen is None:
-            chain.append(at)
-            at = at.over
-        unseen = at is not None and at.unseen
-        for one in reversed(chain):
-            folded = one.over is not None and one.over.tag == "details" and one.tag != "summary" and one.over.get("open") is None
-            unseen = one.unseen = bool(unseen or folded or self.itself(one))
-        return unseen
-
-    def itself(self, node: Node) -> bool:
         if node.tag in UNSEEN:
             return True
         if not node.attrs:
@@ -254,12 +235,41 @@ class Hidden:
 
 
 class Text:
-    """Lines of output: collapses blanks, and keeps one blank line between spaced blocks."""
+    """Lines of output: collapses blanks, and keeps one blank line between spaced blocks.
 
-    def __init__(self):
-        self.lines: list[str] = []
+    A text within another (``up``) writes its lines into the same list, as (indent, line), so that
+    none is copied at each level. Its first line stands after ``mark``, the others are indented by as much.
+    """
+
+    __slots__ = ("up", "mark", "lead", "drop", "lines", "any", "passed", "line", "gap", "space")
+
+    def __init__(self, up: Text | None = None, mark: str = "", drop: bool = False):
+        self.up, self.mark, self.drop = up, mark, drop  # drop: a blank first line goes
+        self.lead: int = (up.lead if up else 0) + len(mark)
+        self.lines: list[tuple[int, str]] = up.lines if up else []
+        self.any, self.passed = False, False  # whether it has lines, and whether one of them was written
         self.line, self.gap, self.space = [], 0, False
 
+    def add(self, text: str) -> None:
+        first, self.any = not self.any, True
+        if self.drop and first and not text:
+            return
+        fresh, at = [], self
+        while at.up and not at.passed:
+            fresh.append(at)
+            at = at.up
+        lead, marks = at.lead, []
+        while fresh:
+            one = fresh.pop()
+            if one.up.any and one.up.gap:
+                self.lines.append((0, ""))
+                lead, marks = one.up.lead, []
+            one.up.gap, one.up.any, one.passed = 0, True, True
+            marks.append(one.mark)
+        whole = "".join(marks) + text if text else ""
+        bare = whole.lstrip(" ")
+        self.lines.append((lead + len(whole) - len(bare) if bare else 0, bare))
+
     def words(self, s: str) -> None:
         flat = _SPACES.sub(" ", s)
         if flat == " " or not flat:
@@ -280,10 +290,10 @@ class Text:
     def end(self, keep: bool = False) -> None:
         text = "".join(self.line)
         if keep or text.strip():
-            if self.lines and self.gap:
-                self.lines.append("")
+            if self.any and self.gap:
+                self.add("")
             self.gap = 0
-            self.lines.append(text.rstrip(" "))
+            self.add(text.rstrip(" "))
         self.line, self.space = [], False
 
     def block(self, spaced: bool) -> None:
@@ -292,84 +302,94 @@ class Text:
 
     def done(self) -> list[str]:
         self.end()
-        return self.lines
+        return [" " * lead + text if lead <= INDENT else f"[{lead}] {text}" for lead, text in self.lines]
 
 
 def width(s: str) -> int:
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def layout(node: Node, hidden: Hidden) -> list[str]:
-    """The lines of an element's content."""
-    out = Text()
-    flow(node, hidden, out, False)
-    return out.done()
+class Level:
+    """An element whose children are being laid out; when they are done, ``after`` follows in ``over``: a block's end (spaced or not), a blank or nothing."""
 
+    __slots__ = ("rest", "tag", "count", "out", "pre", "over", "after")
 
-def flow(node: Node, hidden: Hidden, out: Text, pre: bool) -> None:
-    count = None
-    if node.tag == "ol":
-        start = node.get("start") or ""
-        count = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
-    for child in node.children:
-        if isinstance(child, str):
-            out.raw(child) if pre else out.words(child)
-            continue
-        tag = child.tag
-        if tag == "br":
-            out.end(keep=True)
-            continue
-        if hidden(child):
-            continue
-        if tag == "table":
-            nested(out, table(child, hidden), True)
-        elif tag == "li":
-            value = child.get("value") or ""
-            if count is not None and re.fullmatch(r"-?\d{1,9}", value):
-                count = int(value)
-            mark = f"{count}. " if count is not None else "- "
-            count = None if count is None else count + 1
-            lines = layout(child, hidden)
-            nested(out, [(mark if k == 0 else " " * len(mark)) + s if s else s for k, s in enumerate(lines)], False)
-        elif tag in ("blockquote", "dd"):
-            nested(out, ["  " + s if s else s for s in layout(child, hidden)], tag == "blockquote")
-        elif tag in ("ul", "ol", "menu", "dir"):
-            inner = Text()
-            flow(child, hidden, inner, False)
-            nested(out, inner.done(), node.tag != "li")
-        elif tag == "hr":
-            nested(out, ["-" * 20], True)
-        elif tag == "details" and child.get("open") is None:
-            out.block(False)
-            for c in child.children:
-                if isinstance(c, Node) and c.tag == "summary" and not hidden(c):
-                    flow(c, hidden, out, pre)
-                    break
-            out.block(False)
-        elif tag in ("td", "th"):
-            flow(child, hidden, out, pre)
-            out.words(" ")
-        elif tag in ("pre", "textarea", "xmp"):
-            inner = Text()
-            flow(child, hidden, inner, True)
-            lines = inner.done()
-            nested(out, lines[1:] if lines and not lines[0] else lines, tag == "pre")
-        elif tag in BLOCK:
-            out.block(tag in SPACED)
-            flow(child, hidden, out, pre)
-            out.block(tag in SPACED)
+    def __init__(self, node: Node, out: Text, pre: bool, over: Text, after: bool | str | None):
+        self.rest, self.tag, self.out, self.pre, self.over, self.after = iter(node.children), node.tag, out, pre, over, after
+        self.count = None
+        if node.tag == "ol":
+            start = node.get("start") or ""
+            self.count = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+
+    def done(self) -> None:
+        if self.out is not self.over:
+            self.out.end()
+        if self.after == " ":
+            self.over.words(" ")
+        elif self.after is not None:
+            self.over.block(self.after)
+
+
+def layout(node: Node, hidden: Hidden, nested: int = 0) -> list[str]:
+    """The lines of an element's content; ``nested``: how many tables with columns it is in."""
+    out = Text()
+    work = [Level(node, out, False, out, None)]
+    while work:
+        at = work[-1]
+        for child in at.rest:
+            if isinstance(child, str):
+                at.out.raw(child) if at.pre else at.out.words(child)
+            elif child.tag == "br":
+                at.out.end(keep=True)
+            elif child.tag == "#line":
+                at.out.add(child.attrs)
+            elif child.tag[0] == "#" or not hidden(child):
+                work.append(enter(at, child, hidden, nested))
+                break
         else:
-            flow(child, hidden, out, pre)
+            work.pop().done()
+    return out.done()
 
 
-def nested(out: Text, lines: list[str], spaced: bool) -> None:
-    out.block(spaced)
-    if lines:
-        if out.lines and out.gap:
-            out.lines.append("")
-        out.gap = 0
-        out.lines += lines
-    out.block(spaced)
+def enter(at: Level, child: Node, hidden: Hidden, nested: int) -> Level:
+    """Begins an element inside of ``at``."""
+    tag, out = child.tag, at.out
+
+    def inner(mark: str, spaced: bool, pre: bool = False, node: Node = child) -> Level:
+        out.block(spaced)
+        return Level(node, Text(out, mark, pre), pre, out, spaced)
+
+    if tag == "#part":
+        return inner(child.attrs, False)
+    if tag == "table":
+        return inner("", True, node=table(child, hidden, nested))
+    if tag == "li":
+        value = child.get("value") or ""
+        if at.count is not None and re.fullmatch(r"-?\d{1,9}", value):
+            at.count = int(value)
+        mark = f"{at.count}. " if at.count is not None else "- "
+        at.count = None if at.count is None else at.count + 1
+        return inner(mark, False)
+    if tag in ("blockquote", "dd"):
+        return inner("  ", tag == "blockquote")
+    if tag in ("ul", "ol", "menu", "dir"):
+        return inner("", at.tag != "li")
+    if tag == "hr":
+        rule = Node("#rule")
+        rule.children.append("-" * 20)
+        return inner("", True, node=rule)
+    if tag == "details" and child.get("open") is None:
+        out.block(False)
+        shown = next((c for c in child.children if isinstance(c, Node) and c.tag == "summary" and not hidden(c)), Node("summary"))
+        return Level(shown, out, at.pre, out, False)
+    if tag in ("td", "th"):
+        return Level(child, out, at.pre, out, " ")
+    if tag in ("pre", "textarea", "xmp"):
+        return inner("", tag == "pre", pre=True)
+    if tag in BLOCK:
+        out.block(tag in SPACED)
+        return Level(child, out, at.pre, out, tag in SPACED)
+    return Level(child, out, at.pre, out, None)
 
 
 class Taken:
@@ -400,33 +420,76 @@ class Taken:
         self.begins[k : k + 1], self.ends[k : k + 1] = [a for a, _ in left], [b for _, b in left]
 
 
-def table(node: Node, hidden: Hidden) -> list[str]:
-    """Rows of aligned cells; a cell with several lines makes a row of several; spans keep their columns."""
-    rows, before = [], []
-
-    def gather(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                if c.strip():
-                    before.append(_SPACES.sub(" ", c).strip())
-            elif hidden(c) or c.tag in ("colgroup", "col"):
-                continue
-            elif c.tag == "caption":
-                before.extend(layout(c, hidden))
-            elif c.tag == "tr":
-                rows.append([x for x in c.children if isinstance(x, Node) and x.tag in ("td", "th") and not hidden(x)])
-                stray = Node("div")
-                stray.children = [x for x in c.children if isinstance(x, str) and x.strip() or isinstance(x, Node) and x.tag not in ("td", "th")]
-                before.extend(layout(stray, hidden) if stray.children else [])
-            elif c.tag in ("thead", "tbody", "tfoot"):
-                gather(c)
-            else:
-                wrapped = Node("div")
-                wrapped.children = [c]
-                before.extend(layout(wrapped, hidden))
-
-    gather(node)
-    grid: list[dict[int, list[str]]] = []
+def part(children: list[Node | str], mark: str = "") -> Node:
+    """Content that is laid out by itself."""
+    out = Node("#part", mark)
+    out.children = children
+    return out
+
+
+def span(cell: Node, name: str, most: int) -> int:
+    found = re.match(r"[ \t\n\r\f]*\+?(\d+)", cell.get(name) or "")
+    digits = found[1].lstrip("0") if found else ""
+    return (min(int(digits), most) if len(digits) < 10 else most) if digits else 1
+
+
+def table(node: Node, hidden: Hidden, nested: int) -> Node:
+    """Rows of aligned cells; a cell with several lines makes a row of several; spans keep their columns.
+
+    Where few of the fields have a cell (ALIGNED) or tables lie in many others (NESTED), each cell is
+    listed by itself after its row and column, as in "[2,5] text", so that its place isn't lost.
+    """
+    whole, rows = Node("#table"), []
+    todo = [iter(node.children)]
+    while todo:
+        c = next(todo[-1], None)
+        if c is None:
+            todo.pop()
+        elif isinstance(c, str):
+            if c.strip():
+                whole.children.append(part([_SPACES.sub(" ", c).strip()]))
+        elif hidden(c) or c.tag in ("colgroup", "col"):
+            continue
+        elif c.tag == "caption":
+            whole.children.append(part(c.children))
+        elif c.tag == "tr":
+            rows.append([x for x in c.children if isinstance(x, Node) and x.tag in ("td", "th") and not hidden(x)])
+            stray = [x for x in c.children if isinstance(x, str) and x.strip() or isinstance(x, Node) and x.tag not in ("td", "th")]
+            whole.children += [part(stray)] if stray else []
+        elif c.tag in ("thead", "tbody", "tfoot"):
+            todo.append(iter(c.children))
+        else:
+            whole.children.append(part([c]))
+    grid = places(rows)
+    columns = sorted({col for row in grid for col in row})
+    if len(columns) < 2:
+        whole.children += [part(cell.children) for row in grid for cell in row.values()]
+        return whole
+    if nested >= NESTED:
+        whole.children += [part(cell.children, f"[{r},{col + 1}] ") for r, row in enumerate(grid, 1) for col, cell in row.items()]
+        return whole
+    texts = [{col: layout(cell, hidden, nested + 1) for col, cell in row.items()} for row in grid]
+    high = [max([len(v) for v in row.values()], default=0) for row in texts]
+    if sum(high) * len(columns) > ALIGNED * sum(1 + len(v) for row in texts for v in row.values()):
+        whole.children += [part([Node("#line", s) for s in lines], f"[{r},{col + 1}] ") for r, row in enumerate(texts, 1) for col, lines in row.items()]
+        return whole
+    pads = dict.fromkeys(columns, 0)
+    for row in texts:
+        for col, lines in row.items():
+            pads[col] = min(PAD, max([pads[col], *map(width, lines)]))
+    for row, n in zip(texts, high):
+        for k in range(n):
+            fields = []
+            for col in columns:
+                s = row[col][k] if col in row and k < len(row[col]) else ""
+                fields.append(s + " " * max(0, pads[col] - width(s)))
+            whole.children.append(Node("#line", "  ".join(fields).rstrip(" ")))
+    return whole
+
+
+def places(rows: list[list[Node]]) -> list[dict[int, Node]]:
+    """The cells of each row by their column; spans are held to 1,000 columns and 65,534 rows, as the HTML standard says."""
+    grid: list[dict[int, Node]] = []
     taken, ends = Taken(), {}
     for r, cells in enumerate(rows):
         row, col, later = {}, 0, []
@@ -434,8 +497,8 @@ def table(node: Node, hidden: Hidden) -> list[str]:
             taken.free(begin, end)
         for cell in cells:
             col, limit = taken.gap(col)
-            row[col] = layout(cell, hidden)
-            wide, deep = (min(int(v), 1000) if re.fullmatch(r"\d{1,6}", v := cell.get(s) or "") and int(v) else 1 for s in ("colspan", "rowspan"))
+            row[col] = cell
+            wide, deep = span(cell, "colspan", 1000), span(cell, "rowspan", 65534)
             if deep > 1 and r + 1 < len(rows):
                 later.append((col, min(col + wide, limit), r + deep))
             col += wide
@@ -443,23 +506,7 @@ def table(node: Node, hidden: Hidden) -> list[str]:
             taken.hold(begin, end)
             ends.setdefault(until, []).append((begin, end))
         grid.append(row)
-    pads: dict[int, int] = {}
-    for row in grid:
-        for col, lines in row.items():
-            pads[col] = min(PAD, max([pads.get(col, 0), *map(width, lines)]))
-    out = list(before)
-    columns = sorted(pads)
-    for row in grid:
-        for k in range(max([len(v) for v in row.values()], default=0)):
-            if len(columns) > ALIGNED:
-                out.append("  ".join(lines[k] for _, lines in sorted(row.items()) if k < len(lines)).rstrip(" "))
-                continue
-            parts = []
-            for col in columns:
-                s = row[col][k] if col in row and k < len(row[col]) else ""
-                parts.append(s + " " * max(0, pads[col] - width(s)))
-            out.append("  ".join(parts).rstrip(" "))
-    return out
+    return grid
 
 
 def render(html: str | None) -> str:
@@ -482,7 +529,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with a column ``rendered``: the visible text of each document.
 
     Null and blank documents give an empty text; malformed ones are repaired as tree builders do;
-    whole documents are read. Nesting beyond 200 levels is flattened, hidden parts staying hidden. Rows,
+    whole documents are read. Elements nest to any depth; indents beyond 400 columns are written as their
+    number ("[402] text"), and cells of very sparse or deeply nested tables after their row and column. Rows,
     repeated ones too, and other columns stay, but that a column ``rendered`` of ``pages`` is replaced; no shuffle.
     """
     small_batches(pages.sparkSession, 200)

@@ -508,6 +508,35 @@ def test_deep_and_hidden(source, text):
     assert html.render(source) == text
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        (DEEP + "<ol><li>one<li>two</ol>", "1. one\n2. two"), (DEEP + "<table><tr><td>a<td>b<tr><td>cc<td>d</table>", "a   b\ncc  d"), (DEEP + "<pre>x\n  y</pre>", "x\n  y"),
+        ("<blockquote>" * 150 + "x<br>y", "  " * 150 + "x\n" + "  " * 150 + "y"), ("<blockquote>" * 250 + "x<br>y", "[500] x\n[500] y"), ("<ul><li>" * 300 + "x", "- " * 300 + "x"),
+        ("<table><tr>" + "".join(f"<td>{k % 10}" for k in range(100)) + "<tr><td><td>y</table>", "  ".join(str(k % 10) for k in range(100)) + "\n   y"),
+        ("<table>" + "".join(f"<tr><td rowspan=9999>x{k}<br>y" for k in range(200)) + "</table>", "\n".join(f"{(m := f'[{k + 1},{k + 1}] ')}x{k}\n{' ' * len(m)}y" for k in range(200))),
+        ("<table><tr><td rowspan=1400>a<td>b" + "<tr><td>c" * 1450 + "</table>", "a  b" + "\n   c" * 1399 + "\nc" * 51),
+        ("<table><tr><td>a<td>" * 10 + "x", "a  " * 8 + "[1,1] a\n" + " " * 24 + "[1,2] [1,1] a\n" + " " * 30 + "[1,2] x"),
+    ],
+)
+def test_layout_has_no_limits(source, text):
+    assert html.render(source) == text
+
+
+@pytest.mark.parametrize("tags", ["<blockquote>x", "<ul><li>x", "<ol><li>x<br>y", "<table><tr><td>x<td>x<br>y", "<table><tr><td>x", "<pre>x\n", "<details open><dl><dd>x", "<table><caption>x", "<table>x<tr>x<td>"])
+def test_deep_layouts_take_linear_time(tags):
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        page, begin = tags * n + "seen", time.process_time()
+        out = html.render(page)
+        took.append(time.process_time() - begin)
+        assert out.endswith("seen") and out.count("x") == page.count("x")
+    print(tags, took)
+    assert took[1] < 1 or took[1] < 16 * took[0]
+
+
 class Visible(HTMLParser):
     """Words outside of hidden elements, told by a stack alone: an independent check of what is visible."""
 
