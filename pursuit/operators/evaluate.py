@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -25,14 +26,53 @@ def avg_class_accuracy(rows: DataFrame) -> DataFrame:
     return by.agg(F.avg("a").alias("accuracy"))
 
 
-def average_precision(rows: DataFrame, n_pos: int) -> DataFrame:
-    """Interpolated average precision of (rank, tp, fp) rows in order of rank: the envelope's area over recall."""
-    upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    rest = Window.orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
-    tp, fp = F.sum("tp").over(upto).cast("double"), F.sum("fp").over(upto).cast("double")
-    r = rows.select("rank", (tp / n_pos).alias("recall"), (tp / F.greatest(tp + fp, F.lit(1e-300))).alias("precision"))
-    r = r.select("recall", F.max("precision").over(rest).alias("top"), F.coalesce(F.lag("recall").over(Window.orderBy("rank")), F.lit(0.0)).alias("before"))
-    return r.agg(F.sum((F.col("recall") - F.col("before")) * F.col("top")).alias("ap"))
+def average_precision(rows: DataFrame, n_pos: float | None = None, backwards: tuple[Column, ...] = ()) -> DataFrame:
+    """Interpolated average precision of (rank, tp, fp) rows in order of rank: the envelope's area over recall.
+
+    ``backwards`` are columns that put the last row first (by default rank, descending); n_pos is the sum
+    of tp by default. Rows are dealt into ranges of that order and kept while each range gives its sums, its
+    best precision and then its area, which needs the sums before it and the best precision after it. One
+    row a range comes to the driver, where the result is made at once.
+    """
+    spark, order = rows.sparkSession, backwards or (F.desc("rank"),)
+    rows = rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("tp", "fp")}).persist()  # ranges are found by a pass of its own
+    ranges = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    held = ranges.select(F.spark_partition_id().alias("range"), "tp", (F.col("tp") + F.col("fp")).alias("n")).persist()
+    try:
+        sums = np.array(sorted(map(tuple, held.groupBy("range").agg(F.sum("tp"), F.sum("n")).collect())), float).reshape(-1, 3)
+        until = dict(zip(sums[:, 0].astype(int).tolist(), sums[::-1, 1:].cumsum(0)[::-1].tolist()))
+        best = _areas(held, until, dict.fromkeys(until, 0.0))
+        after = np.maximum.accumulate([0.0, *(best[k][0] for k in until)]).tolist()
+        area = math.fsum(x for _, x in _areas(held, until, dict(zip(until, after))).values())
+    finally:
+        held.unpersist()
+        rows.unpersist()
+    n_pos = sums[:, 1].sum() if n_pos is None else n_pos
+    ap = (area / n_pos if n_pos else math.nan) if until else None
+    return spark.range(1).select(F.lit(ap).cast("double").alias("ap"))
+
+
+def _areas(held: DataFrame, until: dict[int, list[float]], after: dict[int, float]) -> dict[int, tuple[float, float]]:
+    """(best precision, sum of tp x envelope) by range, one range a partition, its last row first.
+
+    until: sums of tp and of all rows up to the range's end; after: the best precision beyond it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, area = None, 0.0
+        for b in batches:
+            if b.num_rows:
+                if key is None:
+                    key = b.column(0)[0].as_py()
+                    (tp_at, n_at), top = until[key], after[key]
+                tp, n = b.column(1).to_numpy(), b.column(2).to_numpy()
+                tps, ns = tp_at - np.r_[0.0, tp.cumsum()], n_at - np.r_[0.0, n.cumsum()]
+                tops = np.maximum.accumulate(np.r_[top, tps[:-1] / np.maximum(ns[:-1], 1e-300)])
+                tp_at, n_at, top, area = tps[-1], ns[-1], tops[-1], area + tp @ tops[1:]
+        if key is not None:
+            yield pa.RecordBatch.from_pydict({"range": pa.array([key], pa.int32()), "top": [float(top)], "area": [float(area)]})
+
+    return {k: (top, area) for k, top, area in held.mapInArrow(run, "range int, top double, area double").collect()}
 
 
 def split(signals: DataFrame, n_train: int, n_test: int | None = None, seed: int | None = 0) -> DataFrame:

@@ -726,9 +726,9 @@ def avg_class_accuracy(spark, d):
 
 @query(f"{_NEAR}, rk as (select row_number() over (order by a desc, id) as rank, case when y = y_pred then 1 else 0 end as tp from pr), np as (select sum(tp) as n from rk), cu as (select rank, cast(sum(tp) over (order by rank) as double) as ct, rank as n from rk), rp as (select rank, ct / np.n as recall, ct / cu.n as prec from cu, np), en as (select recall, max(prec) over (order by rank rows between current row and unbounded following) as top, coalesce(lag(recall) over (order by rank), 0) as before from rp) select round(sum((recall - before) * top), 6) + 0.0 as ap from en")
 def average_precision(spark, d):
-    rows = _predicted(spark, d).select(F.row_number().over(Window.orderBy(F.col("a").desc(), "id")).alias("rank"), (F.col("y") == F.col("y_pred")).cast("int").alias("tp"))
+    rows = _predicted(spark, d).select("id", "a", F.coalesce(F.col("y") == F.col("y_pred"), F.lit(False)).cast("int").alias("tp"))
     rows = rows.withColumn("fp", 1 - F.col("tp"))
-    return evaluate.average_precision(rows, rows.agg(F.sum("tp")).first()[0]).select(r6(F.col("ap")).alias("ap"))
+    return evaluate.average_precision(rows, backwards=(F.asc("a"), F.desc("id"))).select(r6(F.col("ap")).alias("ap"))
 
 
 @query("select vec_id as id, cast((row_number() over (partition by label order by vec_id) - 1) % 5 as integer) as fold from embeddings")

@@ -5,6 +5,7 @@ import importlib.util
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from pursuit.functions import vectors as V
@@ -87,6 +88,48 @@ def test_accuracy_fixture(spark):
     assert round(evaluate.avg_class_accuracy(rows).first()[0], 1) == 0.5
 
 
+def envelope(tp, fp, n_pos):
+    ct, cf = np.cumsum(tp), np.cumsum(fp)
+    top = np.maximum.accumulate((ct / np.maximum(ct + cf, 1))[::-1])[::-1]
+    return (np.diff(np.r_[0, ct]) / n_pos * top).sum()
+
+
+def most_read(spark, group):
+    """The most rows that one task read from a shuffle in the jobs of a group."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jobs, store, most = context.statusTracker(), context._jsc.sc().statusStore(), 0
+    for stage in {s for j in jobs.getJobIdsForGroup(group) for s in jobs.getJobInfo(j).stageIds}:
+        if jobs.getStageInfo(stage) and jobs.getStageInfo(stage).numCompletedTasks:
+            tasks = store.taskList(stage, 0, 10_000)
+            most = max([most, *(tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size()))])
+    return most
+
+
+def test_average_precision_in_ranges(spark):
+    """The same as in one sweep, and no task gets all rows, however many share a score."""
+    n = 20_000
+    tp = (RNG.random(n) < 0.4 * np.exp(-np.arange(n) / n)).astype(int)
+    score = np.r_[np.linspace(2, 1, n // 4), np.full(n // 2, 0.5), np.linspace(0.4, 0, n - n // 4 - n // 2)]
+    rows = spark.createDataFrame([(int(i), float(score[i]), int(tp[i]), int(1 - tp[i])) for i in RNG.permutation(n)], "rank long, a double, tp int, fp int").repartition(5).persist()
+    spark.sparkContext.setJobGroup("ranges", "")
+    try:
+        got = [evaluate.average_precision(rows, int(tp.sum())).first()[0], evaluate.average_precision(rows, backwards=("a", F.desc("rank"))).first()[0], evaluate.average_precision(rows, 2 * int(tp.sum())).first()[0] * 2]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert np.allclose(got, envelope(tp, 1 - tp, tp.sum()), rtol=1e-12)
+    assert rows.storageLevel.useMemory
+    rows.unpersist()
+    assert 0 < most_read(spark, "ranges") < n / 2
+
+
+def test_average_precision_without_positives(spark):
+    rows = spark.createDataFrame([(1, 0, 1), (2, 0, 1)], "rank long, tp int, fp int")
+    assert np.isnan(evaluate.average_precision(rows, 0).first()[0]) and np.isnan(evaluate.average_precision(rows).first()[0])
+    assert evaluate.average_precision(rows, 3).first()[0] == 0
+    assert evaluate.average_precision(rows.where("rank < 0")).first()[0] is None
+
+
 def test_learners(spark):
     true = dictionaries.unit_rows(RNG.standard_normal((6, 10)))
     X = np.array([RNG.uniform(1, 2) * true[i % 6] for i in range(120)])
